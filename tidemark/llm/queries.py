@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from tidemark.llm.decontaminate import op7_decontaminate
+from tidemark.llm.quality_rules import op8_quality_rules
 from tidemark.llm.substring_dedup import op3_substring_dedup
 
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_quality_rules": op8_quality_rules,
 }
 ORACLE: dict[str, str] = {}
