@@ -8,9 +8,10 @@ is repeated if its hash also occurs with a smaller doc_id.  Repeated windows mer
 into maximal intervals of words, which are cut out of the texts.
 
 Skew: minimisers whose runs exceed an average partition (there can be no more of
-them than partitions) are found by a partial-aggregated count, and their
-windows go through a plain aggregate and join by hash, which combines before the
-shuffle and whose hot partitions Spark can split.
+them than partitions) are found by a partial-aggregated count.  Their windows are
+reduced to distinct hashes with smallest and largest doc_id before each shuffle, and
+the hashes that repeat are looked up where the documents are read: as a sorted
+array while they are at most ``BROADCAST_ROWS``, by a join beyond that.
 
 Results for odd input: a null or empty text has 0 words and keeps the empty
 string; texts shorter than the window lose nothing; rows with a null doc_id take
@@ -27,11 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import _text
-from tidemark.llm._spark import partitions, saved, table
+from tidemark.llm._spark import BROADCAST_ROWS, partitions, saved, table
 
 WIDTH = 50
 #: Words of the short runs whose smallest hash is a window's minimiser.
@@ -114,10 +115,11 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, hot_runs: int = HOT_
                 m, n = np.unique(np.concatenate(got), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(n)], ["m", "n"])
 
+    total = Observation()
     counts = docs.mapInArrow(counted, "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
-    counts = saved(counts.filter(F.col("n") > hot_runs))
-    # at most n_parts keys can exceed an average partition's load; the rest stay below the last of these
-    hot = np.sort(np.array([r.m for r in counts.orderBy(F.desc("n"), "m").limit(n_parts).collect()], dtype=np.int64))
+    counts = saved(counts.observe(total, F.sum("n").alias("runs")).filter(F.col("n") > hot_runs))
+    load = max(hot_runs, (total.get["runs"] or 0) // n_parts)
+    hot = np.sort(np.array([r.m for r in counts.where(F.col("n") > load).select("m").collect()], dtype=np.int64))  # fewer than n_parts
 
     def is_hot(m: np.ndarray) -> np.ndarray:
         if not len(hot):
@@ -165,21 +167,87 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, hot_runs: int = HOT_
         yield pa.RecordBatch.from_arrays([pa.array(doc[which]), pa.array(crc[which]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "crc", "start", "end"])
 
     found = docs.mapInArrow(runs, _RUNS).repartition(n_parts, "m").mapInArrow(resolved, "doc_id long, crc int, start int, end int")
-    if len(hot):
+    return found.unionAll(_hot_intervals(docs, is_hot, width, n_parts)) if len(hot) else found
 
-        def windows(batches):
+
+def _distinct(h: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order with the smallest and the largest document of each."""
+    order = np.argsort(h, kind="stable")
+    h, least, most = h[order], least[order], most[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), dtype=bool), h[1:] != h[:-1])))
+    return (h[first], np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)) if len(h) else (h, least, most)
+
+
+def _hot_intervals(docs: DataFrame, is_hot, width: int, n_parts: int) -> DataFrame:
+    """Intervals of the windows whose minimiser is hot."""
+
+    def reduced(batches):
+        for batch in batches:
+            h, d = [], []
+            for hashes, bounds, m, doc, _, _ in _parts(batch, width):
+                size = np.diff(bounds)
+                take = np.repeat(is_hot(m), size)
+                h.append(hashes[take])
+                d.append(np.repeat(doc, size)[take])
+            if not sum(map(len, h)):
+                continue
+            h, least, most = _distinct(np.concatenate(h), np.concatenate(d), np.concatenate(d))
+            bucket = (h % np.uint64(n_parts)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0)))
+            bounds = np.append(first, len(h))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][first]), *(_text.binary(x[order], bounds) for x in (h, least, most))], ["bucket", "h", "least", "most"])
+
+    def merged(batches):
+        have = [[], [], []]
+        for batch in batches:
+            for out, name, kind in zip(have, ("h", "least", "most"), (np.uint64, np.int64, np.int64), strict=True):
+                out.append(np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=kind))
+        if have[0]:
+            h, least, most = _distinct(*(np.concatenate(x) for x in have))
+            again = least < most
+            yield pa.RecordBatch.from_arrays([pa.array([int(again.sum())], pa.int64()), pa.array([h[again].tobytes()]), pa.array([least[again].tobytes()])], ["n", "h", "least"])
+
+    packed = docs.mapInArrow(reduced, "bucket int, h binary, least binary, most binary").repartition(n_parts, "bucket")
+    repeated = saved(packed.mapInArrow(merged, "n long, h binary, least binary"))
+    columns = ["doc_id", "crc", "start", "end"]
+    schema = "doc_id long, crc int, start int, end int"
+    if (repeated.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_ROWS:
+        rows = repeated.collect()
+        known = np.frombuffer(b"".join(r.h for r in rows), dtype=np.uint64)
+        order = np.argsort(known)
+        known, least = known[order], np.frombuffer(b"".join(r.least for r in rows), dtype=np.int64)[order]
+
+        def looked_up(batches):
             for batch in batches:
                 for hashes, bounds, m, doc, crc, pos in _parts(batch, width):
-                    size = np.diff(bounds)
-                    take = np.repeat(is_hot(m), size)
-                    word = np.arange(len(hashes)) - np.repeat(bounds[:-1] - pos, size)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)[take]), pa.array(np.repeat(doc, size)[take]), pa.array(np.repeat(crc, size)[take]), pa.array(word.astype(np.int32)[take])], ["h", "doc_id", "crc", "pos"])
-
-        each = docs.mapInArrow(windows, "h long, doc_id long, crc int, pos int")
-        least = each.groupBy("h").agg(F.min("doc_id").alias("least"))
-        again = each.join(least, "h").filter(F.col("doc_id") > F.col("least"))
-        found = found.unionAll(again.select("doc_id", "crc", F.col("pos").alias("start"), (F.col("pos") + width).cast("int").alias("end")))
-    return found
+                    if not len(known):
+                        continue
+                    run = np.repeat(np.arange(len(m)), np.diff(bounds))
+                    k = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    flags = is_hot(m)[run] & (known[k] == hashes) & (least[k] < doc[run])
+                    word = np.arange(len(hashes)) - bounds[run] + pos[run]
+                    which, start, end = _merged(flags, run, word, width)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[which]), pa.array(crc[which]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], columns)
+
+        return docs.mapInArrow(looked_up, schema)
+
+    def windows(batches):
+        for batch in batches:
+            for hashes, bounds, m, doc, crc, pos in _parts(batch, width):
+                run = np.repeat(np.arange(len(m)), np.diff(bounds))
+                take = np.flatnonzero(is_hot(m)[run])
+                word = (np.arange(len(hashes)) - bounds[run] + pos[run]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)[take]), pa.array(doc[run][take]), pa.array(crc[run][take]), pa.array(word[take])], ["h", "doc_id", "crc", "pos"])
+
+    def spread(batches):
+        for batch in batches:
+            for h, least in zip(batch.column("h").to_pylist(), batch.column("least").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, dtype=np.int64)), pa.array(np.frombuffer(least, dtype=np.int64))], ["h", "least"])
+
+    each = docs.mapInArrow(windows, "h long, doc_id long, crc int, pos int")
+    again = each.join(repeated.mapInArrow(spread, "h long, least long"), "h").filter(F.col("doc_id") > F.col("least"))
+    return again.select("doc_id", "crc", F.col("pos").alias("start"), (F.col("pos") + width).cast("int").alias("end"))
 
 
 def _cut(words: list[bytes], starts: list[int], ends: list[int]) -> tuple[list[bytes], int]:
