@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.decontaminate import op7_decontaminate
+from tidemark.llm.jaccard_join import op9_jaccard_join
 from tidemark.llm.quality_rules import op8_quality_rules
 from tidemark.llm.substring_dedup import op3_substring_dedup
 
@@ -10,5 +11,6 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 ORACLE: dict[str, str] = {}
