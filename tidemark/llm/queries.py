@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from tidemark.llm.decontaminate import op7_decontaminate
+from tidemark.llm.html_text import op2_html_text
 from tidemark.llm.jaccard_join import op9_jaccard_join
 from tidemark.llm.quality_rules import op8_quality_rules
 from tidemark.llm.substring_dedup import op3_substring_dedup
+from tidemark.llm.token_count import op1_token_count
 
 QUERIES = {
+    "op1_token_count": op1_token_count,
+    "op2_html_text": op2_html_text,
     "op3_substring_dedup": op3_substring_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
