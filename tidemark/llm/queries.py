@@ -6,15 +6,20 @@ from tidemark.llm.decontaminate import op7_decontaminate
 from tidemark.llm.html_text import op2_html_text
 from tidemark.llm.jaccard_join import op9_jaccard_join
 from tidemark.llm.quality_rules import op8_quality_rules
+from tidemark.llm.shards import op6_shards
 from tidemark.llm.substring_dedup import op3_substring_dedup
 from tidemark.llm.token_count import op1_token_count
+from tidemark.llm.warc import ORACLE as WARC_SQL
+from tidemark.llm.warc import op10_warc
 
 QUERIES = {
     "op1_token_count": op1_token_count,
     "op2_html_text": op2_html_text,
     "op3_substring_dedup": op3_substring_dedup,
+    "op6_shards": op6_shards,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_warc": op10_warc,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op10_warc": WARC_SQL}
