@@ -5,6 +5,9 @@ from __future__ import annotations
 from tidemark.llm.decontaminate import op7_decontaminate
 from tidemark.llm.html_text import op2_html_text
 from tidemark.llm.jaccard_join import op9_jaccard_join
+from tidemark.llm.mixture import ORACLE as MIXTURE_SQL
+from tidemark.llm.mixture import op4_mixture
+from tidemark.llm.pii import op5_pii
 from tidemark.llm.quality_rules import op8_quality_rules
 from tidemark.llm.shards import op6_shards
 from tidemark.llm.substring_dedup import op3_substring_dedup
@@ -16,10 +19,12 @@ QUERIES = {
     "op1_token_count": op1_token_count,
     "op2_html_text": op2_html_text,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_mixture": op4_mixture,
+    "op5_pii": op5_pii,
     "op6_shards": op6_shards,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_warc": op10_warc,
 }
-ORACLE: dict[str, str] = {"op10_warc": WARC_SQL}
+ORACLE: dict[str, str] = {"op4_mixture": MIXTURE_SQL, "op10_warc": WARC_SQL}
