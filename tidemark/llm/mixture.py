@@ -105,8 +105,9 @@ def probabilities(docs: DataFrame, budget: float = BUDGET, targets: Mapping = TA
 
 def choose(docs: DataFrame, budget: float = BUDGET, targets: Mapping = TARGETS, rounds: int = ROUNDS) -> DataFrame:
     """The chosen rows, with all their columns."""
-    rows = _with_features(docs)
-    return _judged(rows, rake(rows, budget, targets, rounds), budget).where("mix_in").select(*docs.columns)
+    some = [c for c in ("doc_id", "source", "lang", "topic", "text") if c in docs.columns]
+    rows = _with_features(docs.select(F.struct(*docs.columns).alias("whole"), *some))
+    return _judged(rows, rake(rows, budget, targets, rounds), budget).where("mix_in").select("whole.*")
 
 
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
