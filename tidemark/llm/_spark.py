@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when it has been counted and is no larger than this.
 BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow batch in stages that are written.
+BATCH_ROWS = 1000
 #: Text bytes that one shuffle partition is sized for.
 PARTITION_BYTES = 32 << 20
 
@@ -27,10 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut lineage: write to the shared folder as Parquet and read it again."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut lineage: write to the shared folder as Parquet and read it again.
+
+    While it is written, Arrow batches are small, so that Python workers hold little.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
+    had = spark.conf.get(key)
+    spark.conf.set(key, BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, had)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(df: DataFrame, factor: float = 1.0) -> int:

@@ -9,12 +9,15 @@ document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch that are turned into Python objects at once.
+SLICE_ROWS = 1000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -109,6 +112,17 @@ def chunks(texts: list[bytes], lower: bool = False, limit: int = CHUNK_BYTES) ->
         yield Chunk(rows, norms, lower)
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices; after the last one, freed memory goes back to the system."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """A string column as bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -167,7 +167,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, block_items: int):
 
         def count(batches, block=block):
             have = np.zeros(len(block.seed), dtype=np.int64)
-            for batch in batches:
+            for batch in _text.sliced(batches):
                 for chunk in _text.chunks(_plain(_text.utf8(batch.column(0)))):
                     h, _, doc = block.hits(chunk)
                     once = np.unique(np.stack([h, doc.astype(np.uint64)]), axis=1)[0]
@@ -188,7 +188,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, b
     for block in _blocks(docs, benchmark, block_items):
 
         def search(batches, block=block):
-            for batch in batches:
+            for batch in _text.sliced(batches):
                 got = _leaks(_text.utf8(batch.column("text")), block, min_score)
                 row, item, score, end = zip(*got, strict=True) if got else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(score, pa.float64()), pa.array(end, pa.int64())], ["doc_id", "item_id", "score", "end_word"])
@@ -203,7 +203,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
     for block in list(_blocks(docs, benchmark, block_items)):
 
         def clean(batches, block=block):
-            for batch in batches:
+            for batch in _text.sliced(batches):
                 bad = {x[0] for x in _leaks(_text.utf8(batch.column(batch.schema.get_field_index("text"))), block, min_score)}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 

@@ -6,14 +6,15 @@ into segments, more than D of them for every size band; a set emits a key
 (band, segment, hash of its shingles there) for its first D + 1 + e non-empty
 segments.  By the pigeonhole principle two similar sets share 1 + e keys at least.
 
-Cost-based allocation: a key that more than ``max_group`` classes share is hot.  Its
-classes are not paired with each other but with one hub for sizes close to each other,
-and a pair can be lost only if each of its sets has 1 + e hot keys.  Such
-sets are looked at again after the components of all verified links are known: only
-sets of one hot key in different components are paired.  Sets too crowded for the
-guarantee, and small ones, use single shingles as segments (the one-deletion
-neighbourhood is not needed then).  Hot keys are reduced to their hubs before the
-shuffle, and all pairs are verified exactly.
+Cost-based allocation: a key that more than ``max_group`` classes share is hot and
+pairs nobody.  A similar pair can then be lost only if each of its sets has 1 + e hot
+keys; such sets are called hard, and only hard sets are compared through hot
+keys: first each with a hub of about its size, then, once the components of all verified links are
+known, with the sets of other components that odd sketches do not rule out (the
+differing bits of two sketches are a lower bound of differing shingles).  Sets too
+crowded for the guarantee, and small ones, use single shingles as segments.  Hot keys
+are recognised within each task already, which forwards one entry of them, and all
+pairs that are left are verified exactly.
 
 Results for odd input: null, empty and blank texts have 0 shingles and are their own
 component; texts of fewer than five words are one shingle; rows with a null doc_id
@@ -35,22 +36,30 @@ from tidemark.llm._spark import partitions, saved, small, table
 
 SHINGLE_WORDS = 5
 #: Classes of one key that are paired with each other.
-MAX_GROUP = 32
+MAX_GROUP = 8
 #: Keys beyond the guarantee, in percent of it, so that hot keys can be passed over.
 EXTRA_PERCENT = 15
 #: Sets up to this size use single shingles as segments.
 SINGLES = 31
 #: Keys that a task gathers before it deals them out.
-FLUSH = 1 << 20
-
-ENTRY = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<i4"), ("need", "<i4"), ("way", "<i4"), ("hot", "<i4")])
+FLUSH = 1 << 18
+#: Times that hard sets are joined by spanning pairs before all that is left is looked at.
+SPANNING_ROUNDS = 2
+#: Text that is hashed at once.
+CHUNK_BYTES = 1 << 18
+#: Keys of hard sets that a task deals out at once, each with a sketch of no more than this band's size.
+KEYS_AT_ONCE, SHORT_BAND = 50_000, 8
+
+ENTRY = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<i4"), ("need", "<u2"), ("way", "u1"), ("hot", "u1")])
+NEVER = 65535
 _SETS = np.dtype([(k, ENTRY[k]) for k in ("sig", "n", "need", "way", "hot")])
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
+LIGHT = np.dtype([("doc_id", "<i8"), ("n", "<i8"), ("sig", "<i8"), ("known", "u1")])
 
 
 def shingle_sets(texts: list[bytes]):
     """For each chunk: rows, set sizes, shingle hashes (sorted, distinct) and their document."""
-    for chunk in _text.chunks(texts, lower=True):
+    for chunk in _text.chunks(texts, lower=True, limit=CHUNK_BYTES):
         found = [chunk.windows(SHINGLE_WORDS)]
         for width in range(1, SHINGLE_WORDS):
             if (chunk.counts == width).any():
@@ -83,7 +92,7 @@ def _prefix(first: np.ndarray, doc: np.ndarray, limit: np.ndarray) -> np.ndarray
     return np.arange(len(first)) - begin[owner] < limit[owner]
 
 
-def _keys(h: np.ndarray, doc: np.ndarray, n: np.ndarray, sig: np.ndarray) -> np.ndarray:
+def _keys(h: np.ndarray, doc: np.ndarray, n: np.ndarray, sig: np.ndarray, known: np.ndarray) -> np.ndarray:
     """The entries of all sets of a chunk: in the band of their size, and in the next one if a partner can be there."""
     out = []
     band0 = np.zeros(len(n), dtype=np.int64)
@@ -92,7 +101,7 @@ def _keys(h: np.ndarray, doc: np.ndarray, n: np.ndarray, sig: np.ndarray) -> np.
     for step in (0, 1):
         band = band0 + step
         top = (1 << (band + 1)) - 1
-        use = (n > 0) & ((step == 0) | (most >= 1 << band))
+        use = known & (n > 0) & ((step == 0) | (most >= 1 << band))
         d = (n + np.minimum(most, top)) // 7
         extra = -(-(d + 1) * EXTRA_PERCENT // 100)
         limit = d + 1 + extra
@@ -122,7 +131,7 @@ def _keys(h: np.ndarray, doc: np.ndarray, n: np.ndarray, sig: np.ndarray) -> np.
             e["key"] = _text.mix(sums + _text.mix(place + np.uint64(0x2545F4914F6CDD1D)))
             e["sig"], e["n"], e["way"] = sig[owner], n[owner], way[owner]
             have = np.minimum(np.bincount(owner, minlength=len(n)), limit)
-            e["need"] = np.where(have > d, have - d, 1 << 30)[owner]
+            e["need"] = np.where(have > d, np.minimum(have - d, NEVER - 1), NEVER)[owner]
             out.append(e[_prefix(first, dd, limit)])
     return np.concatenate(out) if out else np.zeros(0, dtype=ENTRY)
 
@@ -153,43 +162,32 @@ def _close(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(n, m) >= 75 * np.maximum(n, m)
 
 
-def _grouped(e: np.ndarray, max_group: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Entries by key: of small groups; of hot groups; hubs of the hot ones; pairs of members with their hubs."""
+def _grouped(e: np.ndarray, max_group: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries by key, each class once for a key: those of cold keys, those of hot ones."""
     e = e[np.lexsort((e["sig"], e["n"], e["key"]))]
-    new = np.ones(len(e), dtype=bool)
-    new[1:] = e["key"][1:] != e["key"][:-1]
     again = np.zeros(len(e), dtype=bool)
-    again[1:] = ~new[1:] & (e["sig"][1:] == e["sig"][:-1])
+    again[1:] = (e["key"][1:] == e["key"][:-1]) & (e["sig"][1:] == e["sig"][:-1])
     if again.any():
-        # a class that many copies have emitted counts once; hot if any of its entries is
         marks = np.flatnonzero(~again)
         hot = np.maximum.reduceat(e["hot"], marks)
-        e, new = e[marks], new[marks]
+        e = e[marks]
         e["hot"] = hot
-    first = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
+    if not len(e):
+        return e, e
+    first = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1])))
     size = np.diff(np.append(first, len(e)))
-    big = (size > max_group) | (np.maximum.reduceat(e["hot"], first) > 0) if len(e) else np.zeros(0, dtype=bool)
-    hot, cold = e[big[group]], e[~big[group] & (size[group] > 1)]
-    if not len(hot):
-        return cold, hot, hot, np.zeros(0, dtype=PAIR)
-    hub = _hubs(hot, group[big[group]])
-    hubs = np.unique(hub)
-    heads = hot[hubs]
-    linked = heads["key"][1:] == heads["key"][:-1]
-    stars = _pairs(np.concatenate((hot["sig"], heads["sig"][1:][linked])), np.concatenate((hot["sig"][hub], heads["sig"][:-1][linked])))
-    return cold, hot, heads, stars
+    big = np.repeat((size > max_group) | (np.maximum.reduceat(e["hot"], first) > 0), size)
+    return e[~big], e[big]
 
 
 def _all_pairs(e: np.ndarray) -> np.ndarray:
     """Pairs of close sizes within the (small) groups of entries sorted by key."""
     out = []
-    for gap in range(1, MAX_GROUP * 4):
-        same = e["key"][gap:] == e["key"][:-gap]
-        if not same.any():
-            break
+    gap = 1
+    while (same := e["key"][gap:] == e["key"][:-gap]).any():
         same &= _close(e["n"][gap:], e["n"][:-gap])
         out.append(_pairs(e["sig"][gap:][same], e["sig"][:-gap][same]))
+        gap += 1
     return _once(np.concatenate(out)) if out else np.zeros(0, dtype=PAIR)
 
 
@@ -204,7 +202,7 @@ def _dealt(kind: int, rows: np.ndarray, by: np.ndarray, n: int) -> pa.RecordBatc
 
 def _compact(kind: int, e: np.ndarray, n: int):
     """Entries with what they share per set in a table of its own, one row for each bucket."""
-    name = _text.mix(e["sig"].view(np.uint64) + (e["way"] * 2 + e["hot"]).astype(np.uint64))
+    name = _text.mix(e["sig"].view(np.uint64) + (e["way"].astype(np.uint64) * np.uint64(2) + e["hot"]))
     _, some, which = np.unique(name, return_index=True, return_inverse=True)
     sets = np.empty(len(some), dtype=_SETS)
     for field in _SETS.names:
@@ -220,25 +218,28 @@ def _compact(kind: int, e: np.ndarray, n: int):
     return pa.RecordBatch.from_arrays([pa.array(bucket[order][first]), pa.array(np.full(len(first), kind, dtype=np.int32)), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
 
 
-def _expand(blob: bytes) -> np.ndarray:
+def _expand(blob: bytes, part: int) -> np.ndarray:
+    """The entries of a compact blob whose keys belong to one of PARTS parts."""
     k = int.from_bytes(blob[:4], "little")
     at = 4 + k * _SETS.itemsize
-    sets = np.frombuffer(blob[4:at], dtype=_SETS)
     n = (len(blob) - at) // 12
-    e = np.empty(n, dtype=ENTRY)
-    own = sets[np.frombuffer(blob[at : at + 4 * n], dtype=np.uint32)]
+    keys = np.frombuffer(blob, dtype=np.uint64, offset=at + 4 * n)
+    take = np.flatnonzero(keys >> np.uint64(62) == part)
+    own = np.frombuffer(blob[4:at], dtype=_SETS)[np.frombuffer(blob, dtype=np.uint32, count=n, offset=at)[take]]
+    e = np.empty(len(take), dtype=ENTRY)
     for name in _SETS.names:
         e[name] = own[name]
-    e["key"] = np.frombuffer(blob[at + 4 * n :], dtype=np.uint64)
+    e["key"] = keys[take]
     return e
 
 
 _BLOBS = "bucket int, kind int, blob binary"
-_KEYS, _STARS, _HOT = 0, 1, 2
+_KEYS, _STARS, _HOT, _LIGHT = 0, 1, 2, 3
+PARTS = 4
 
 
 def _candidates(docs: DataFrame, n_parts: int, max_group: int) -> DataFrame:
-    """Saved rows (kind, blob): pairs to verify, and the entries of hot keys."""
+    """Saved rows (bucket, kind, blob): pairs to verify, the entries of hot keys, and every document's class."""
 
     def emit(batches):
         waiting: list[np.ndarray] = []
@@ -246,72 +247,74 @@ def _candidates(docs: DataFrame, n_parts: int, max_group: int) -> DataFrame:
         def flush():
             e = np.concatenate(waiting)
             waiting.clear()
-            cold, hot, heads, stars = _grouped_all(e, max_group)
-            heads = heads.copy()
+            cold, hot = _grouped(e, max_group)
+            heads = hot[np.concatenate((np.ones(min(1, len(hot)), dtype=bool), hot["key"][1:] != hot["key"][:-1]))].copy()
             heads["hot"] = 1
             keys = np.concatenate((cold, heads))
             if len(keys):
                 yield _compact(_KEYS, keys, n_parts)
             if len(hot):
                 yield _dealt(_HOT, hot, _text.mix(hot["sig"].view(np.uint64)), n_parts)
-            if len(stars):
-                yield _dealt(_STARS, stars, _text.mix(stars["a"].view(np.uint64) ^ _text.mix(stars["b"].view(np.uint64))), n_parts)
 
-        for batch in batches:
-            for _, n, h, doc in shingle_sets(_known(batch)):
-                waiting.append(_keys(h, doc, n, _class_ids(h, doc, n)))
+        for number, batch in enumerate(_text.sliced(batches)):
+            ids = batch.column("doc_id")
+            light = np.zeros(batch.num_rows, dtype=LIGHT)
+            light["doc_id"], light["known"] = ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid())
+            for rows, n, h, doc in shingle_sets(_text.utf8(batch.column("text"))):
+                sig = _class_ids(h, doc, n)
+                light["n"][rows], light["sig"][rows] = n, sig
+                known = light["known"][rows] > 0
+                waiting.append(_keys(h, doc, n, sig, known))
                 if sum(map(len, waiting)) >= FLUSH:
                     yield from flush()
+            yield pa.RecordBatch.from_arrays([pa.array([number % n_parts], pa.int32()), pa.array([_LIGHT], pa.int32()), pa.array([light.tobytes()])], ["bucket", "kind", "blob"])
         if waiting:
             yield from flush()
 
     def meet(batches):
-        entries = []
-        for batch in batches:
-            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                if kind == _KEYS:
-                    entries.append(_expand(blob))
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([blob])], ["kind", "blob"])
-        if not entries:
-            return
-        cold, hot, _, stars = _grouped(np.concatenate(entries), max_group)
-        for kind, rows in ((_STARS, _once(np.concatenate((_all_pairs(cold), stars)))), (_HOT, hot)):
-            if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([rows.tobytes()])], ["kind", "blob"])
+        compact = []
+        for batch in _text.sliced(batches):
+            keys = np.asarray(batch.column("kind")) == _KEYS
+            compact += batch.column("blob").filter(pa.array(keys)).to_pylist()
+            yield batch.filter(pa.array(~keys))
+        for part in range(PARTS if compact else 0):
+            cold, hot = _grouped(np.concatenate([_expand(blob, part) for blob in compact]), max_group)
+            pairs = _all_pairs(cold)
+            if len(pairs):
+                yield _dealt_pairs(pairs, n_parts)
+            if len(hot):
+                yield _dealt(_HOT, hot, _text.mix(hot["sig"].view(np.uint64)), n_parts)
+
+    return saved(docs.mapInArrow(emit, _BLOBS).repartition(n_parts, "bucket").mapInArrow(meet, _BLOBS))
+
 
-    return saved(docs.mapInArrow(emit, _BLOBS).repartition(n_parts, "bucket").mapInArrow(meet, "kind int, blob binary"))
+def _documents(found: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, sig) of every document."""
 
+    def rows(batches):
+        for batch in _text.sliced(batches):
+            for blob in batch.column(0).to_pylist():
+                x = np.frombuffer(blob, dtype=LIGHT)
+                yield pa.RecordBatch.from_arrays([pa.array(x["doc_id"].copy(), mask=x["known"] == 0), pa.array(x["n"].copy()), pa.array(x["sig"].copy())], ["doc_id", "n_shingles", "sig"])
 
-def _grouped_all(e: np.ndarray, max_group: int):
-    """As _grouped, but entries that are alone with their key stay among the small groups."""
-    cold, hot, heads, stars = _grouped(e, max_group)
-    alone = e[~np.isin(e["key"], hot["key"])] if len(hot) else e
-    return alone, hot, heads, stars
+    return found.where(F.col("kind") == _LIGHT).select("blob").mapInArrow(rows, "doc_id long, n_shingles long, sig long")
 
 
-def _distinct_pairs(blobs: DataFrame, n_parts: int) -> DataFrame:
-    """(a, b) rows, each once."""
+def _dealt_pairs(p: np.ndarray, n_parts: int) -> pa.RecordBatch:
+    return _dealt(_STARS, p, _text.mix(p["a"].view(np.uint64) ^ _text.mix(p["b"].view(np.uint64))), n_parts)
 
-    def deal(batches):
-        for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                p = np.frombuffer(blob, dtype=PAIR)
-                yield _dealt(_STARS, p, _text.mix(p["a"].view(np.uint64) ^ _text.mix(p["b"].view(np.uint64))), n_parts)
+
+def _distinct_pairs(dealt: DataFrame, n_parts: int) -> DataFrame:
+    """(a, b) rows, each once, from dealt blobs."""
 
     def once(batches):
-        got = [np.frombuffer(b"".join(batch.column("blob").to_pylist()), dtype=PAIR) for batch in batches]
+        got = [np.frombuffer(b"".join(batch.column("blob").to_pylist()), dtype=PAIR) for batch in _text.sliced(batches)]
         if got:
             p = _once(np.concatenate(got))
             for k in range(0, len(p), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(p["a"][k : k + 10_000].copy()), pa.array(p["b"][k : k + 10_000].copy())], ["a", "b"])
 
-    return blobs.select("blob").mapInArrow(deal, _BLOBS).repartition(n_parts, "bucket").mapInArrow(once, "a long, b long")
-
-
-def _known(batch: pa.RecordBatch) -> list[bytes]:
-    valid = batch.column("doc_id").is_valid().to_pylist()
-    return [t if v else b"" for t, v in zip(_text.utf8(batch.column("text")), valid, strict=True)]
+    return dealt.repartition(n_parts, "bucket").mapInArrow(once, "a long, b long")
 
 
 def _sets_of(texts: list[bytes]) -> list[np.ndarray]:
@@ -322,26 +325,62 @@ def _sets_of(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets reach the similarity; texts travel compressed, once for each class that has a pair."""
-    need = saved(pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct())
+def _class_texts(docs: DataFrame, classes: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(sig, n, odd, packed): size, odd sketch and compressed text of each class, from its first document."""
+    need = saved(classes.join(sigs, "sig", "left_semi").select("sig", F.col("least").alias("doc_id")))
 
     def packed(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            texts = _known(batch)
-            sig = np.zeros(len(texts), dtype=np.int64)
+        for batch in _text.sliced(batches):
+            texts = _text.utf8(batch.column("text"))
+            sig, size = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+            odd = [b""] * len(texts)
             for rows, n, h, doc in shingle_sets(texts):
-                sig[rows] = _class_ids(h, doc, n)
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array([squeeze.compress(t) for t in texts], pa.binary())], ["sig", "packed"])
-
-    texts = docs.mapInArrow(packed, "sig long, packed binary").join(small(need), "sig", "left_semi")
-    texts = saved(texts.groupBy("sig").agg(F.min("packed").alias("packed")))
+                sig[rows], size[rows] = _class_ids(h, doc, n), n
+                for row, own in zip(rows.tolist(), np.split(h, np.cumsum(n)[:-1]), strict=True):
+                    odd[row] = _parity([own], len(own).bit_length() - 1).tobytes() if len(own) else b""
+            right = pa.array(sig == batch.column("sig").to_numpy())  # others have the same doc_id
+            columns = [batch.column("sig"), pa.array(size), pa.array(odd, pa.binary()), pa.array([squeeze.compress(t) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["sig", "n", "odd", "packed"]).filter(right)
+
+    texts = docs.join(small(need), "doc_id").select("sig", "text").mapInArrow(packed, "sig long, n long, odd binary, packed binary")
+    return saved(texts.dropDuplicates(["sig"]))
+
+
+def _plausible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs that sizes and odd sketches do not rule out."""
+    left, right = (texts.select(F.col("sig").alias(k), F.col("n").alias(f"{k}_n"), F.col("odd").alias(f"{k}_odd")) for k in "ab")
+
+    def check(batches):
+        for batch in _text.sliced(batches):
+            n, m = batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy()
+            keep = _close(n, m)
+            x, y = batch.column("a_odd").to_pylist(), batch.column("b_odd").to_pylist()
+            for i in np.flatnonzero(keep):
+                u, v = int.from_bytes(x[i], "little"), int.from_bytes(y[i], "little")
+                bits = 8 * min(len(x[i]), len(y[i]))
+                u, v = (_folded(w, 8 * len(z), bits) for w, z in ((u, x[i]), (v, y[i])))
+                keep[i] = (u ^ v).bit_count() <= (n[i] + m[i]) // 7
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return saved(pairs.join(left, "a").join(right, "b").select("a", "b", "a_n", "b_n", "a_odd", "b_odd").mapInArrow(check, "a long, b long"))
+
+
+def _folded(sketch: int, size: int, bits: int) -> int:
+    """An odd sketch of half as many buckets, again and again down to ``bits``."""
+    while size > bits:
+        size //= 2
+        sketch = (sketch >> size) ^ (sketch & (1 << size) - 1)
+    return sketch
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets reach the similarity."""
     left, right = (texts.select(F.col("sig").alias(k), F.col("packed").alias(f"{k}_text")) for k in "ab")
 
     def verify(batches):
         expand = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _text.sliced(batches):
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 blobs = part.column("a_text").to_pylist() + part.column("b_text").to_pylist()
@@ -357,17 +396,27 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return saved(pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(verify, "a long, b long"))
 
 
-def _second_look(hot: DataFrame, comps: DataFrame, n_parts: int) -> DataFrame:
-    """Pairs of sets that only hot keys could have joined and that are in different components."""
+def _bits(band: int) -> int:
+    return max(64, 4 << band)
 
-    def deal(batches):
-        for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                e = np.frombuffer(blob, dtype=ENTRY)
-                yield _dealt(_HOT, e, _text.mix(e["sig"].view(np.uint64)), n_parts)
+
+def _parity(sets: list[np.ndarray], band: int) -> np.ndarray:
+    """Odd sketches: a bit for each bucket that holds an odd number of shingles.
+
+    Two sets differ in at least as many shingles as their sketches differ in bits.
+    """
+    bits = _bits(band)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    at = np.concatenate(sets) & np.uint64(bits - 1) if sets else np.empty(0, dtype=np.uint64)
+    odd = np.bincount(row * bits + at.astype(np.int64), minlength=len(sets) * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(len(sets), bits), axis=1, bitorder="little").view(np.uint64)
+
+
+def _hard_sets(hot: DataFrame, n_parts: int) -> DataFrame:
+    """(sig, n, way, keys): sets with so many hot keys that a link could be lost, and those keys."""
 
     def hard(batches):
-        got = [np.frombuffer(b"".join(batch.column("blob").to_pylist()), dtype=ENTRY) for batch in batches]
+        got = [np.frombuffer(b"".join(batch.column("blob").to_pylist()), dtype=ENTRY) for batch in _text.sliced(batches)]
         if not got:
             return
         e = np.concatenate(got)
@@ -378,50 +427,108 @@ def _second_look(hot: DataFrame, comps: DataFrame, n_parts: int) -> DataFrame:
         new = np.ones(len(e), dtype=bool)
         new[1:] = (e["sig"][1:] != e["sig"][:-1]) | (e["way"][1:] != e["way"][:-1])
         first = np.flatnonzero(new)
-        keep = np.repeat(np.diff(np.append(first, len(e))) >= e["need"][first], np.diff(np.append(first, len(e))))
-        e = e[keep]
-        if not len(e):
-            return
-        first = np.flatnonzero(np.concatenate(([True], e["sig"][1:] != e["sig"][:-1])))
-        keys = _text.binary(np.ascontiguousarray(e["key"]), np.append(first, len(e)))
-        yield pa.RecordBatch.from_arrays([pa.array(e["sig"][first].copy()), pa.array(e["n"][first].astype(np.int64)), keys], ["sig", "n", "keys"])
+        bounds = np.append(first, len(e))
+        keep = (np.diff(bounds) >= e["need"][first]) & (e["need"][first] < NEVER)
+        keys = _text.binary(np.ascontiguousarray(e["key"]), bounds)
+        rows = pa.RecordBatch.from_arrays([pa.array(e["sig"][first].copy()), pa.array(e["n"][first].copy()), pa.array(e["way"][first].astype(np.int32)), keys], ["sig", "n", "way", "keys"])
+        yield rows.filter(pa.array(keep))
+
+    return saved(hot.repartition(n_parts, "bucket").mapInArrow(hard, "sig long, n int, way int, keys binary"))
+
+
+def _stars(hard: DataFrame, n_parts: int) -> DataFrame:
+    """Blobs of pairs: hard sets with the hub of their size, and hubs with the next hub, for every hot key."""
 
     def by_key(batches):
-        kind = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<i8"), ("component", "<i8")])
-        for batch in batches:
+        for batch in _text.sliced(batches):
             keys = batch.column("keys").to_pylist()
             size = [len(x) // 8 for x in keys]
-            e = np.empty(sum(size), dtype=kind)
+            e = np.zeros(sum(size), dtype=ENTRY)
             e["key"] = np.frombuffer(b"".join(keys), dtype=np.uint64)
-            for name in ("sig", "n", "component"):
+            for name in ("sig", "n"):
                 e[name] = np.repeat(batch.column(name).to_numpy(), size)
-            # a component's sets of one size meet others through all of them, so nothing is left out here
             if len(e):
                 yield _dealt(_HOT, e, e["key"], n_parts)
 
-    def across(batches):
-        kind = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<i8"), ("component", "<i8")])
-        got = [np.frombuffer(b"".join(batch.column("blob").to_pylist()), dtype=kind) for batch in batches]
-        if not got:
-            return
-        e = np.concatenate(got)
-        e = e[np.lexsort((e["n"], e["key"]))]
-        first = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1])))
-        for a, b in zip(first, np.append(first[1:], len(e)), strict=True):
-            g = e[a:b]
-            if (g["component"] == g["component"][0]).all():
-                continue
-            for i in range(len(g) - 1):
-                other = g[i + 1 : np.searchsorted(g["n"], g["n"][i] * 100 // 75, "right")]
-                other = other[other["component"] != g["component"][i]]
-                if len(other):
-                    p = _pairs(np.full(len(other), g["sig"][i]), other["sig"])
-                    yield pa.RecordBatch.from_arrays([pa.array([_STARS], pa.int32()), pa.array([p.tobytes()])], ["kind", "blob"])
+    def star(batches):
+        got = [np.frombuffer(b"".join(batch.column("blob").to_pylist()), dtype=ENTRY) for batch in _text.sliced(batches)]
+        if got:
+            e = np.concatenate(got)
+            e = e[np.lexsort((e["sig"], e["n"], e["key"]))]
+            hub = _hubs(e, e["key"])
+            heads = e[np.unique(hub)]
+            linked = heads["key"][1:] == heads["key"][:-1]
+            p = _pairs(np.concatenate((e["sig"], heads["sig"][1:][linked])), np.concatenate((e["sig"][hub], heads["sig"][:-1][linked])))
+            yield _dealt_pairs(p, n_parts)
+
+    return hard.mapInArrow(by_key, _BLOBS).repartition(n_parts, "bucket").mapInArrow(star, _BLOBS)
+
 
-    rows = hot.mapInArrow(deal, _BLOBS).repartition(n_parts, "bucket").mapInArrow(hard, "sig long, n long, keys binary")
-    rows = rows.join(comps.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    met = rows.select("sig", "n", "component", "keys").mapInArrow(by_key, _BLOBS).repartition(n_parts, "bucket").mapInArrow(across, "kind int, blob binary")
-    return _distinct_pairs(met, n_parts)
+def _second_look(hard: DataFrame, comps: DataFrame, texts: DataFrame, n_parts: int, spanning: bool) -> DataFrame:
+    """Pairs of hard sets of one hot key in different components that odd sketches do not rule out.
+
+    spanning: not all of them, but enough to join, if they all hold, whatever all would join.
+    """
+
+    def member(band: int) -> np.dtype:
+        return np.dtype([("key", "<u8"), ("sig", "<i8"), ("component", "<i8"), ("n", "<i4"), ("odd", "<u8", (_bits(min(band, SHORT_BAND)) // 64,))])
+
+    def by_key(batches):
+        expand = zstandard.ZstdDecompressor()
+        for batch in _text.sliced(batches):
+            ways = batch.column("way").to_numpy()
+            for way in np.unique(ways):
+                rows = np.flatnonzero(ways == way)
+                load = np.cumsum([len(batch.column("keys")[int(r)].as_py()) // 8 for r in rows])
+                for own in np.split(rows, np.flatnonzero(np.diff(load // KEYS_AT_ONCE)) + 1):
+                    part = batch.take(pa.array(own))
+                    keys = part.column("keys").to_pylist()
+                    size = [len(x) // 8 for x in keys]
+                    e = np.zeros(sum(size), dtype=member(int(way) // 2))
+                    e["key"] = np.frombuffer(b"".join(keys), dtype=np.uint64)
+                    for name in ("sig", "n", "component"):
+                        e[name] = np.repeat(part.column(name).to_numpy(), size)
+                    sets = _sets_of([expand.decompress(x) for x in part.column("packed").to_pylist()])
+                    e["odd"] = np.repeat(_parity(sets, min(int(way) // 2, SHORT_BAND)), size, axis=0)
+                    yield _dealt(int(way), e, e["key"], n_parts)
+
+    def across(batches):
+        got: dict[int, list[bytes]] = {}
+        for batch in _text.sliced(batches):
+            for way, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                got.setdefault(way, []).append(blob)
+        for way, blobs in got.items():
+            e = np.frombuffer(b"".join(blobs), dtype=member(way // 2))
+            e = e[np.lexsort((e["n"], e["key"]))]
+            first = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1])))
+            found = []
+            for a, b in zip(first, np.append(first[1:], len(e)), strict=True):
+                g = e[a:b]
+                if (g["component"] == g["component"][0]).all():
+                    continue
+                n, comp, odd, sig = (np.ascontiguousarray(g[k]) for k in ("n", "component", "odd", "sig"))
+                ends = np.searchsorted(n, n * 100 // 75, "right")
+                label = np.unique(comp, return_inverse=True)[1]
+                for i in range(len(g) - 1):
+                    j = np.arange(i + 1, ends[i])
+                    j = j[label[j] != label[i]]
+                    differ = np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1)
+                    near = differ <= (n[i] + n[j]) // 7
+                    j = j[near]
+                    if not len(j):
+                        continue
+                    if spanning:
+                        order = np.lexsort((sig[j], differ[near], label[j]))
+                        own, first = np.unique(label[j[order]], return_index=True)
+                        j = j[order[first]]
+                        label[np.isin(label, own)] = label[i]
+                    found.append(_pairs(np.full(len(j), sig[i]), sig[j]))
+            if found:
+                yield _dealt_pairs(_once(np.concatenate(found)), n_parts)
+
+    rows = hard.join(comps.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    rows = rows.join(texts.select("sig", "packed"), "sig").select("sig", "n", "way", "keys", "component", "packed")
+    return _distinct_pairs(rows.mapInArrow(by_key, _BLOBS).repartition(n_parts, "bucket").mapInArrow(across, _BLOBS), n_parts)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, max_group: int = MAX_GROUP) -> DataFrame:
@@ -434,25 +541,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, max_group: int = MAX_GRO
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n_parts = partitions(docs, 2.0)
 
-    def sizes(batches):
-        for batch in batches:
-            texts = _text.utf8(batch.column("text"))
-            n_all, sig = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
-            for rows, n, h, doc in shingle_sets(texts):
-                n_all[rows], sig[rows] = n, _class_ids(h, doc, n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_all), pa.array(sig)], ["doc_id", "n_shingles", "sig"])
-
-    light = saved(docs.mapInArrow(sizes, "doc_id long, n_shingles long, sig long"))
     found = _candidates(docs, n_parts, max_group)
-    edges = _verified(docs, saved(_distinct_pairs(found.where(F.col("kind") == _STARS), n_parts)), percent)
+    light = saved(_documents(found))
+    classes = saved(light.where("doc_id is not null and n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    hard = _hard_sets(found.where(F.col("kind") == _HOT), n_parts)
+    blobs = found.where(F.col("kind") == _STARS).unionAll(_stars(hard, n_parts))
+    pairs = saved(_distinct_pairs(blobs, n_parts))
+    ends = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).unionAll(hard.select("sig"))
+    texts = _class_texts(docs, classes, ends.distinct())
+    edges = _verified(_plausible(pairs, texts), texts, percent)
     comps = components(edges)
-    hot = found.where(F.col("kind") == _HOT)
-    if hot.limit(1).count():
-        more = saved(_second_look(hot, comps, n_parts))
-        if more.limit(1).count():
-            comps = components(edges.unionAll(_verified(docs, more, percent)))
-    member = light.where("doc_id is not null and n_shingles > 0")
-    classes = member.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    for spanning in (True,) * SPANNING_ROUNDS + (False,) if hard.limit(1).count() else ():
+        more = saved(_second_look(hard, comps, texts, n_parts, spanning))
+        if not more.limit(1).count():
+            break
+        found_now = _verified(_plausible(more, texts), texts, percent)
+        if found_now.limit(1).count():
+            edges = edges.unionAll(found_now)
+            comps = components(edges)
     classes = classes.join(comps, classes.sig == comps.node, "left").select("sig", "least", "copies", "component")
     classes = saved(classes.where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "sig")))
     smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -132,7 +132,7 @@ def _counted(docs: DataFrame) -> np.ndarray:
 
     def count(batches):
         have = np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
+        for batch in _text.sliced(batches):
             for chunk in _text.chunks(_text.utf8(batch.column(0))):
                 have += np.bincount(_buckets(chunk)[0], minlength=BUCKETS)
         at = np.flatnonzero(have)
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, good_w
     log_ratio = np.rint(np.log(p / q) * _SCALE).astype(np.int64)
 
     def judged(batches):
-        for batch in batches:
+        for batch in _text.sliced(batches):
             texts = _text.utf8(batch.column("text"))
             keep = ~_statistics(texts)["base_failed"]
             yield pa.RecordBatch.from_arrays([pa.array(_scores(texts, log_ratio)[keep]), batch.column("quality").filter(pa.array(keep))], ["score", "quality"])
@@ -187,7 +187,7 @@ def judge(docs: DataFrame, model: QualityModel) -> DataFrame:
     """Per document: doc_id, the statistics, base_failed, score, kept."""
 
     def verdicts(batches):
-        for batch in batches:
+        for batch in _text.sliced(batches):
             texts = _text.utf8(batch.column("text"))
             out = _statistics(texts)
             out["score"] = _scores(texts, model.log_ratio)
@@ -201,7 +201,7 @@ def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
     """The rows that the model keeps, with all their columns."""
 
     def good(batches):
-        for batch in batches:
+        for batch in _text.sliced(batches):
             texts = _text.utf8(batch.column(batch.schema.get_field_index("text")))
             kept = ~_statistics(texts)["base_failed"] & (_scores(texts, model.log_ratio) > model.threshold)
             yield batch.filter(pa.array(kept))

@@ -109,7 +109,7 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, hot_runs: int = HOT_
     n_parts = partitions(docs, 2.0)
 
     def counted(batches):
-        for batch in batches:
+        for batch in _text.sliced(batches):
             got = [m for _, _, m, *_ in _parts(batch, width)]
             if got:
                 m, n = np.unique(np.concatenate(got), return_counts=True)
@@ -127,7 +127,7 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, hot_runs: int = HOT_
         return hot[np.minimum(np.searchsorted(hot, m), len(hot) - 1)] == m
 
     def runs(batches):
-        for batch in batches:
+        for batch in _text.sliced(batches):
             for hashes, bounds, m, doc, crc, pos in _parts(batch, width):
                 keep = ~is_hot(m)
                 column = _text.binary(hashes, bounds)
@@ -136,7 +136,7 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, hot_runs: int = HOT_
 
     def resolved(batches):
         m, doc, crc, pos, sizes, blobs = [], [], [], [], [], []
-        for batch in batches:
+        for batch in _text.sliced(batches):
             m.append(batch.column(0).to_numpy())
             doc.append(batch.column(1).to_numpy())
             crc.append(batch.column(2).to_numpy())
@@ -182,7 +182,7 @@ def _hot_intervals(docs: DataFrame, is_hot, width: int, n_parts: int) -> DataFra
     """Intervals of the windows whose minimiser is hot."""
 
     def reduced(batches):
-        for batch in batches:
+        for batch in _text.sliced(batches):
             h, d = [], []
             for hashes, bounds, m, doc, _, _ in _parts(batch, width):
                 size = np.diff(bounds)
@@ -200,7 +200,7 @@ def _hot_intervals(docs: DataFrame, is_hot, width: int, n_parts: int) -> DataFra
 
     def merged(batches):
         have = [[], [], []]
-        for batch in batches:
+        for batch in _text.sliced(batches):
             for out, name, kind in zip(have, ("h", "least", "most"), (np.uint64, np.int64, np.int64), strict=True):
                 out.append(np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=kind))
         if have[0]:
@@ -219,7 +219,7 @@ def _hot_intervals(docs: DataFrame, is_hot, width: int, n_parts: int) -> DataFra
         known, least = known[order], np.frombuffer(b"".join(r.least for r in rows), dtype=np.int64)[order]
 
         def looked_up(batches):
-            for batch in batches:
+            for batch in _text.sliced(batches):
                 for hashes, bounds, m, doc, crc, pos in _parts(batch, width):
                     if not len(known):
                         continue
@@ -233,7 +233,7 @@ def _hot_intervals(docs: DataFrame, is_hot, width: int, n_parts: int) -> DataFra
         return docs.mapInArrow(looked_up, schema)
 
     def windows(batches):
-        for batch in batches:
+        for batch in _text.sliced(batches):
             for hashes, bounds, m, doc, crc, pos in _parts(batch, width):
                 run = np.repeat(np.arange(len(m)), np.diff(bounds))
                 take = np.flatnonzero(is_hot(m)[run])
@@ -241,7 +241,7 @@ def _hot_intervals(docs: DataFrame, is_hot, width: int, n_parts: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)[take]), pa.array(doc[run][take]), pa.array(crc[run][take]), pa.array(word[take])], ["h", "doc_id", "crc", "pos"])
 
     def spread(batches):
-        for batch in batches:
+        for batch in _text.sliced(batches):
             for h, least in zip(batch.column("h").to_pylist(), batch.column("least").to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, dtype=np.int64)), pa.array(np.frombuffer(least, dtype=np.int64))], ["h", "least"])
 
@@ -271,14 +271,14 @@ def _kept(docs: DataFrame, width: int, hot_runs: int, digest: bool) -> DataFrame
 
     def packed(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in _text.sliced(batches):
             texts = _text.utf8(batch.column("text"))
             crc = np.array([zlib.crc32(t) for t in texts], dtype=np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(crc), pa.array([squeeze.compress(t) for t in texts], pa.binary())], ["doc_id", "crc", "packed"])
 
     def cut(batches):
         expand = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _text.sliced(batches):
             out = []
             for blob, starts, ends in zip(batch.column("packed").to_pylist(), batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True):
                 words = expand.decompress(blob).split()

@@ -117,7 +117,7 @@ def token_counts(docs: DataFrame, automaton: LongestMatch, lead: bytes = b" ") -
     def counted(batches):
         one = shared.value.count
         known: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in _text.sliced(batches):
             n_words, n_tokens = [], []
             for text in _text.utf8(batch.column("text")):
                 words = text.split()
