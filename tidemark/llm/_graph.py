@@ -12,9 +12,9 @@ def _roots(parent: DataFrame) -> DataFrame:
     """(node, root) of a forest (node, parent), by pointer jumping."""
     trees = saved(parent.select("node", F.col("parent").alias("root")))
     while True:
-        up = trees.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        up, further = (trees.select(F.col("node").alias(a), F.col("root").alias(b)) for a, b in (("root", "above"), ("above", "top")))
         moved = Observation()
-        higher = trees.join(up, "root").select("node", F.col("above").alias("new"), "root")
+        higher = trees.join(up, "root").join(further, "above").select("node", F.col("top").alias("new"), "root")
         higher = higher.observe(moved, F.count_if(F.col("new") != F.col("root")).alias("n"))
         trees = saved(higher.select("node", F.col("new").alias("root")))
         if not moved.get["n"]:

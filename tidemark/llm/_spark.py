@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Rows of an Arrow batch in stages that are written.
 BATCH_ROWS = 1000
+#: Estimates from here on mean that Spark does not know a size.
+UNKNOWN_BYTES = 1 << 52
 #: Text bytes that one shuffle partition is sized for.
 PARTITION_BYTES = 32 << 20
 
@@ -45,9 +47,16 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def partitions(df: DataFrame, factor: float = 1.0) -> int:
-    """Shuffle partitions for text of ``df``: by its estimated bytes, and no fewer than configured."""
+    """Shuffle partitions for the rows of ``df``: by their bytes, and no fewer than configured.
+
+    Bytes are the optimizer's estimate (file sizes), or measured where it has none.
+    """
+    spark = df.sparkSession
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(size * factor / PARTITION_BYTES) + 1, 1 << 20))
+    if size >= UNKNOWN_BYTES:
+        texts = [F.octet_length(c) for c, kind in df.dtypes if kind == "string"]
+        size = df.select(F.sum(sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(64)))).first()[0] or 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(size * factor / PARTITION_BYTES) + 1, 1 << 20))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -50,6 +50,7 @@ CONTENT = frozenset("article-body article-content articlebody post-content post-
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _WORDS = re.compile(r"[a-z0-9]+")
+_CUT_TAG = re.compile(r"<[a-zA-Z/!?]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLOSED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 _IMPLIED = {tag for tags in _CLOSED_BY.values() for tag in tags}
@@ -78,6 +79,8 @@ class Page(HTMLParser):
         self.skip = 0
         self.text: list[str] = []
         self.feed(html)
+        if _CUT_TAG.match(self.rawdata):
+            self.rawdata = ""  # the page ends inside a tag
         self.close()
         self._flush()
 

@@ -542,7 +542,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, max_group: int = MAX_GRO
     n_parts = partitions(docs, 2.0)
 
     found = _candidates(docs, n_parts, max_group)
-    light = saved(_documents(found))
+    light = _documents(found)
     classes = saved(light.where("doc_id is not null and n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     hard = _hard_sets(found.where(F.col("kind") == _HOT), n_parts)
     blobs = found.where(F.col("kind") == _STARS).unionAll(_stars(hard, n_parts))

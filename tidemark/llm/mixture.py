@@ -83,7 +83,9 @@ def rake(rows: DataFrame, budget: float = BUDGET, targets: Mapping = TARGETS, ro
         share = share.withColumn(f"to_{key}", F.col("share") * F.lit(float(budget)) * F.sum("size").over(everything))
         cells = cells.join(share.select(key, f"to_{key}"), key)
     cells = saved(cells.withColumn("w", F.col("tokens") * F.lit(float(budget))))
-    for _ in range(rounds):
+    for k in range(rounds):
+        if k and k % 5 == 0:
+            cells = saved(cells)  # keeps the plan shallow
         for key in keys:
             cells = cells.withColumn("w", F.col("w") * F.col(f"to_{key}") / F.sum("w").over(Window.partitionBy(key)))
         cells = cells.withColumn("w", F.least("w", F.col("tokens").cast("double")))

@@ -51,6 +51,9 @@ GAZETTEER = {
 CONTEXT = 24
 LABELERS = 4
 EM_ROUNDS = 25
+#: What labelers are taken for at first (against, for, no opinion), for real candidates and others, and with how
+#: many candidates' weight that is kept.
+FIRST_YES, FIRST_NO, FIRST_WEIGHT = (0.1, 0.5, 0.4), (0.4, 0.1, 0.5), 30.0
 
 _KEEP = {
     "email": "text like '%@%'",
@@ -150,19 +153,19 @@ def reliabilities(patterns: DataFrame, rounds: int = EM_ROUNDS) -> DataFrame:
 
     def step(s: Column, _: Column) -> Column:
         each = F.transform(F.col("all"), lambda p: F.struct(p["votes"].alias("votes"), p["n"].alias("n"), posterior(p, s).alias("q")))
-        sums = lambda weight: F.transform(
+        sums = lambda weight, start: F.transform(
             F.sequence(F.lit(0), F.lit(cells - 1)),
-            lambda c: (F.aggregate(F.filter(each, lambda p: F.element_at(p["votes"], (F.floor(c / 3) + 1).cast("int")) == c % 3), F.lit(0.0), lambda a, p: a + weight(p)) + F.lit(1.0))
-            / (F.aggregate(each, F.lit(0.0), lambda a, p: a + weight(p)) + F.lit(3.0)),
+            lambda c: (F.aggregate(F.filter(each, lambda p: F.element_at(p["votes"], (F.floor(c / 3) + 1).cast("int")) == c % 3), F.lit(0.0), lambda a, p: a + weight(p)) + F.element_at(F.array(*map(F.lit, start)), c % 3 + 1) * FIRST_WEIGHT)
+            / (F.aggregate(each, F.lit(0.0), lambda a, p: a + weight(p)) + F.lit(FIRST_WEIGHT)),
         )
         yes, no = (lambda p: p["n"] * p["q"]), (lambda p: p["n"] * (F.lit(1.0) - p["q"]))
         prior = (F.aggregate(each, F.lit(0.0), lambda a, p: a + yes(p)) + 1.0) / (F.aggregate(each, F.lit(0.0), lambda a, p: a + p["n"]) + 2.0)
-        return F.struct(prior.alias("prior"), sums(yes).alias("yes"), sums(no).alias("no"))
+        return F.struct(prior.alias("prior"), sums(yes, FIRST_YES).alias("yes"), sums(no, FIRST_NO).alias("no"))
 
     first = F.struct(
         F.lit(0.5).alias("prior"),
-        F.array(*[F.lit(x) for _ in range(LABELERS) for x in (0.1, 0.5, 0.4)]).alias("yes"),
-        F.array(*[F.lit(x) for _ in range(LABELERS) for x in (0.4, 0.1, 0.5)]).alias("no"),
+        F.array(*[F.lit(x) for _ in range(LABELERS) for x in FIRST_YES]).alias("yes"),
+        F.array(*[F.lit(x) for _ in range(LABELERS) for x in FIRST_NO]).alias("no"),
     )
     fitted = one.withColumn("fit", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, step))
     return fitted.select(F.explode(F.transform("all", lambda p: F.struct(p["votes"].alias("votes"), _posterior(p, F.col("fit")).alias("q")))).alias("x")).select("x.*")
@@ -179,7 +182,8 @@ def _posterior(p: Column, s: Column) -> Column:
 def _classified(found: DataFrame) -> DataFrame:
     """Loose candidates with the score of the span classifier."""
     votes = F.array(*_votes(F.col("kind"), F.col("span"), F.col("before"), F.col("after")))
-    rows = saved(found.where("not base").withColumn("votes", votes))
+    mixed = "kind <> 'secret' or span rlike '[0-9]' and span rlike '[A-Za-z]'"
+    rows = saved(found.where("not base").where(mixed).withColumn("votes", votes))
     soft = saved(reliabilities(rows.groupBy("votes").agg(F.count("*").alias("n"))))  # 3 ** LABELERS rows at most
     shape = F.concat(F.when(F.col("span").rlike("[a-z]"), "a").otherwise(""), F.when(F.col("span").rlike("[A-Z]"), "A").otherwise(""), F.when(F.col("span").rlike("[0-9]"), "0").otherwise(""))
     marks = F.array(
