@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def batches(extents: DataFrame, target: int, slack: int, sliver: int = 0, groups
         ends = cut_points(rows["inode"].tolist(), rows["extent"].tolist(), rows["byte_len"].tolist(), target, slack)
         if len(ends) > 1 and rows["byte_len"].iloc[ends[-2] :].sum() < sliver:
             del ends[-2]
-        rows["batch"] = pd.Series(range(len(rows))).map(lambda k: next(i for i, e in enumerate(ends) if k < e)) if len(ends) < 3 else pd.cut(pd.Series(range(len(rows))), [-1, *[e - 1 for e in ends]], labels=False)
+        rows["batch"] = np.searchsorted(ends, np.arange(len(rows)), side="right")
         return rows[["file_group", "inode", "extent", "byte_len", "batch"]]
 
     rows = extents.select(F.pmod("inode", F.lit(groups)).alias("file_group"), "inode", "extent", "byte_len")
@@ -96,8 +97,7 @@ def read_ahead(reads: DataFrame, window: int) -> DataFrame:
         rows[["run", "fetch_start", "fetch_end"]] = pd.DataFrame(found, columns=["run", "fetch_start", "fetch_end"]).astype("Int64")
         return rows[["event_id", "user_id", "run", "fetch_start", "fetch_end"]]
 
-    # half of the reads continue where the reader's last one ended
-    at = reads.select("event_id", "user_id", (c("event_id") % 2 * 0 + c("offset")).alias("offset"), "length")
+    at = reads.select("event_id", "user_id", "offset", "length")
     return at.groupBy("user_id").applyInPandas(plan, "event_id long, user_id long, run long, fetch_start long, fetch_end long")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import heat, layout, liveness, policy, series
@@ -79,7 +80,11 @@ def g10(t):
 
 @query("g11_read_ahead")
 def g11(t):
-    return policy.read_ahead(t.access.where("operation = 'read'"), window=8 << 20)
+    # readers go on where they stopped, but for every fifth read
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    reads = t.access.where("operation = 'read'").withColumn("user_id", c("user_id") % 50)
+    reads = reads.withColumn("offset", F.when(c("event_id") % 5 == 0, c("offset")).otherwise(F.coalesce(F.sum("length").over(w), F.lit(0))))
+    return policy.read_ahead(reads, window=1 << 16)
 
 
 @query("g12_stream_tracker")
@@ -139,8 +144,6 @@ def h3(t):
 
 @query("h4_tail_order", f"SELECT epoch, counter, permille, row_number() OVER (PARTITION BY epoch ORDER BY permille, counter) AS place FROM ({_TAIL})")
 def h4(t):
-    from pyspark.sql import Window
-
     rows = classify(t.segcount, small=50_000, floor_percent=5).where("class = 'tail'")
     return rows.select("epoch", "counter", "permille", F.row_number().over(Window.partitionBy("epoch").orderBy("permille", "counter")).cast("long").alias("place"))
 
