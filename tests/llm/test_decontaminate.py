@@ -54,3 +54,26 @@ def test_empty_tables(spark):
     assert decontaminate.leaks(documents(spark), none).count() == 0
     some = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
     assert decontaminate.leaks(empty(spark), some).count() == 0
+
+
+def brute(rows, items):
+    plain = lambda t: "".join(c if c.isalnum() or ord(c) > 127 else " " for c in (t or "").casefold()).split()
+    pairs = ((d, plain(t), k, plain(s)) for d, t in rows for k, s in items)
+    scores = {(d, k): swipe(s, t) / (2 * len(s)) for d, t, k, s in pairs if s}
+    return {x: s for x, s in scores.items() if s >= decontaminate.MIN_SCORE}
+
+
+def test_edited_and_partial_copies_against_brute_force(spark):
+    draw = random.Random(11)
+    items = [(k, prose(1500 + k, 30) + " çà être Élan") for k in range(12)]
+    texts = [edited(t, rate, draw) for _, t in items for rate in (0.2, 0.25, 0.3, 0.35)]
+    for k, (_, t) in enumerate(items):
+        w = t.split()
+        texts += [" ".join(w[: len(w) // 2])] * (3 * (k % 2))  # of every second item the first half leaked often
+        texts += [" ".join(w[-(len(w) // 2) :]), edited(t, 0.2, draw).upper(), " ".join(w[:14] + prose(1700 + k, 20).split() + w[14:28])]
+    rows = [(k, f"{prose(1800 + k, 15)} {t} {prose(1900 + k, 15)}") for k, t in enumerate(texts)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(documents(spark, [(*r, "en", "s") for r in rows]).repartition(3), bench).collect()
+    want = brute(rows, items)
+    assert len(want) > 90
+    assert {(r.doc_id, r.item_id): round(r.score, 9) for r in got} == {x: round(s, 9) for x, s in want.items()}

@@ -1,11 +1,12 @@
 """Training documents that hold passages of benchmark items, exact or edited.
 
-Seeds are the word n-grams of the benchmark items.  Their document frequency is
-counted over the whole corpus, and of each item the rarer half is used, so frequent
-phrases do not seed and an item that leaked everywhere still does.  Seeds that a
-document shares with an item mark a stretch of the document, and Smith-Waterman
+Seeds are the word n-grams of the benchmark items, case folded, all of them: a rarer
+half would miss a copy whose rare seeds are edited or in the half that was not copied.
+Seeds that a document shares with an item mark a stretch of the document, wide enough
+for every alignment through them that reaches the least score, and Smith-Waterman
 alignment (match 2, mismatch and gap -1) of stretch and item gives the score, as
-a share of the best possible one.
+a share of the best possible one.  A copy of which no ``SEED_WORDS`` words in a row are
+left is not found.
 
 The benchmark is handled in blocks of at most ``block_items`` items, the only thing
 sent to all tasks; documents are never shuffled.
@@ -32,16 +33,14 @@ SEED_WORDS = 3
 MIN_SCORE = 0.4
 #: Benchmark items that are sent to all tasks at once.
 BLOCK_ITEMS = 20_000
-#: Share of an item's seeds, rarest first, that is searched for.
-RARE_SHARE = 0.5
 
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 _SIEVE_BITS = 22
 
 
 def _plain(texts: list[bytes]) -> list[bytes]:
-    """Lower-cased ASCII, punctuation as blanks."""
-    return [t.translate(_PLAIN) for t in texts]
+    """Case folded, ASCII punctuation as blanks."""
+    return [(t if t.isascii() else t.decode(errors="surrogateescape").casefold().encode(errors="surrogateescape")).translate(_PLAIN) for t in texts]
 
 
 class Items:
@@ -60,24 +59,12 @@ class Items:
                 seeds.append(own)
                 item.append(np.full(len(own), row))
                 pos.append(np.arange(len(own)))
-        self._set(*(np.concatenate(x) if x else np.empty(0, dtype=t) for x, t in ((seeds, np.uint64), (item, np.int64), (pos, np.int64))))
-        self.short = sorted({len(w) for w in self.words if len(w) < SEED_WORDS})
-
-    def _set(self, seed: np.ndarray, item: np.ndarray, pos: np.ndarray) -> None:
+        seed, item, pos = (np.concatenate(x) if x else np.empty(0, dtype=t) for x, t in ((seeds, np.uint64), (item, np.int64), (pos, np.int64)))
         order = np.lexsort((pos, item, seed))
         self.seed, self.item, self.pos = seed[order], item[order], pos[order]
         self.sieve = np.zeros(1 << _SIEVE_BITS, dtype=bool)
         self.sieve[self.seed & np.uint64((1 << _SIEVE_BITS) - 1)] = True
-
-    def rare(self, df: dict[int, int]) -> None:
-        """Keep the rarer seeds of each item (ties by hash), one at least."""
-        freq = np.array([df.get(int(s), 0) for s in self.seed], dtype=np.int64)
-        order = np.lexsort((self.seed, freq, self.item))
-        first = np.searchsorted(self.item[order], np.arange(len(self.ids)))
-        rank = np.arange(len(order)) - first[self.item[order]]
-        total = np.bincount(self.item, minlength=len(self.ids))[self.item[order]]
-        keep = order[rank < np.maximum(1, np.ceil(total * RARE_SHARE))]
-        self._set(self.seed[keep], self.item[keep], self.pos[keep])
+        self.short = sorted({len(w) for w in self.words if len(w) < SEED_WORDS})
 
     def hits(self, chunk: _text.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Seeds found in a chunk: hash, word, document (index in the chunk)."""
@@ -115,9 +102,12 @@ def align(item: np.ndarray, passages: list[np.ndarray]) -> tuple[np.ndarray, np.
     return best, end
 
 
-def _stretches(diagonals: np.ndarray, n_item: int, n_doc: int) -> list[tuple[int, int]]:
-    """Word ranges of a document around seed hits, given document minus item positions."""
-    slack = 4 + n_item // 2
+def _stretches(diagonals: np.ndarray, n_item: int, n_doc: int, min_score: float) -> list[tuple[int, int]]:
+    """Word ranges of a document around seed hits, given document minus item positions.
+
+    An alignment that reaches the score has at most 2 * n_item * (1 - min_score) gaps.
+    """
+    slack = 1 + int(2 * n_item * (1 - min_score))
     d = np.unique(diagonals)
     cut = np.flatnonzero(np.diff(d) > slack) + 1
     return [(max(0, int(g[0]) - slack), min(n_doc, int(g[-1]) + n_item + slack)) for g in np.split(d, cut)]
@@ -141,7 +131,7 @@ def _leaks(texts: list[bytes], items: Items, min_score: float) -> list[tuple[int
         for a, b in zip(first, np.append(first[1:], len(item)), strict=True):
             d, words = int(doc[a]), items.words[item[a]]
             begin, n = int(chunk.first[d]), int(chunk.first[d + 1] - chunk.first[d])
-            by_item[int(item[a])] += [(d, s, chunk.hash[begin + s : begin + e]) for s, e in _stretches(diagonal[a:b], len(words), n)]
+            by_item[int(item[a])] += [(d, s, chunk.hash[begin + s : begin + e]) for s, e in _stretches(diagonal[a:b], len(words), n, min_score)]
         for i, found in by_item.items():
             found.sort(key=lambda x: len(x[2]))
             best: dict[int, tuple[int, int]] = {}
@@ -155,29 +145,15 @@ def _leaks(texts: list[bytes], items: Items, min_score: float) -> list[tuple[int
     return out
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, block_items: int):
-    """Blocks of the benchmark, each with the seeds that are rare in the corpus."""
+def _blocks(benchmark: DataFrame, block_items: int):
+    """Blocks of the benchmark."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null")
     n = -(-items.count() // (block_items // 2 + 1))
     for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").collect()
         block = Items([r.item_id for r in rows], [r.text for r in rows])
-        if not block.ids:
-            continue
-
-        def count(batches, block=block):
-            have = np.zeros(len(block.seed), dtype=np.int64)
-            for batch in _text.sliced(batches):
-                for chunk in _text.chunks(_plain(_text.utf8(batch.column(0)))):
-                    h, _, doc = block.hits(chunk)
-                    once = np.unique(np.stack([h, doc.astype(np.uint64)]), axis=1)[0]
-                    np.add.at(have, np.searchsorted(block.seed, once), 1)
-            at = np.flatnonzero(have)
-            yield pa.RecordBatch.from_arrays([pa.array(block.seed[at].view(np.int64)), pa.array(have[at])], ["seed", "df"])
-
-        df = docs.select(F.col("text").cast("string")).mapInArrow(count, "seed long, df long").groupBy("seed").agg(F.sum("df").alias("df"))
-        block.rare({r.seed % (1 << 64): r.df for r in df.collect()})  # a row for each seed of the block at most
-        yield block
+        if block.ids:
+            yield block
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -185,7 +161,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, b
     schema = "doc_id long, item_id long, score double, end_word long"
     ids = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     found = docs.sparkSession.createDataFrame([], schema)
-    for block in _blocks(docs, benchmark, block_items):
+    for block in _blocks(benchmark, block_items):
 
         def search(batches, block=block):
             for batch in _text.sliced(batches):
@@ -200,7 +176,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, b
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The rows that hold no benchmark passage, with all their columns."""
     schema = docs.schema
-    for block in list(_blocks(docs, benchmark, block_items)):
+    for block in list(_blocks(benchmark, block_items)):
 
         def clean(batches, block=block):
             for batch in _text.sliced(batches):
