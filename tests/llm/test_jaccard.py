@@ -75,3 +75,33 @@ def test_odd_sketches_are_lower_bounds():
         sizes = [jaccard_join._bits(len(s).bit_length() - 1) for s in (x, y)]
         u, v = (jaccard_join._folded(s, n, min(sizes)) for s, n in zip(sketches, sizes, strict=True))
         assert (u ^ v).bit_count() <= len(np.setxor1d(x, y))
+
+
+def brute_links(rows):
+    sets = [(i, shingles(t)) for i, t, *_ in rows]
+    near = lambda s, o: 100 * len(s & o) >= 75 * len(s | o)
+    return sorted(((i, None if i is None else sum(bool(j is not None and s and o and k != m and near(s, o)) for m, (j, o) in enumerate(sets))) for k, (i, s) in enumerate(sets)), key=str)
+
+
+@pytest.mark.parametrize("block", [5, 256])
+def test_link_counts_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    rows = corpus() + [(900 + k, t, "en", "s") for k, t in enumerate(family(9, 30, 12))]
+    want = brute_links(rows)
+    assert max(n or 0 for _, n in want) > 30
+    got = jaccard_join.near_duplicates(documents(spark, rows).repartition(3), links=True)
+    assert sorted(((r.doc_id, r.n_links) for r in got.collect()), key=str) == want
+
+
+def test_link_counts_of_an_empty_table(spark):
+    assert jaccard_join.near_duplicates(empty(spark), links=True).count() == 0
+
+
+def test_overlaps(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 7)
+    draw = random.Random(8)
+    for _ in range(50):
+        x, y = ([np.unique(np.array([draw.randrange(60) for _ in range(draw.randint(1, 40))], dtype=np.uint64)) for _ in range(draw.randint(1, 6))] for _ in range(2))
+        assert jaccard_join._overlaps(x, y).tolist() == [[len(np.intersect1d(s, t)) for t in y] for s in x]

@@ -16,10 +16,15 @@ crowded for the guarantee, and small ones, use single shingles as segments.  Hot
 are recognised within each task already, which forwards one entry of them, and all
 pairs that are left are verified exactly.
 
+That gives the exact components, but not every link in them.  Links join members of one
+component only, so they are counted by comparing all sets of a component exactly, in pairs
+of bounded blocks that meet in one task.
+
 Results for odd input: null, empty and blank texts have 0 shingles and are their own
 component; texts of fewer than five words are one shingle; rows with a null doc_id
 get a null component and take no part; equal doc_ids share a component only if
-linked; an empty table gives an empty result; extra columns are ignored.
+linked; an empty table gives an empty result; extra columns are ignored.  A document with
+shingles is linked with every other row of an equal set; a null doc_id has a null count.
 """
 
 from __future__ import annotations
@@ -49,6 +54,8 @@ SPANNING_ROUNDS = 2
 CHUNK_BYTES = 1 << 18
 #: Keys of hard sets that a task deals out at once, each with a sketch of no more than this band's size.
 KEYS_AT_ONCE, SHORT_BAND = 50_000, 8
+#: Sets of a component, and shingles of them, that a block is meant to hold; shingles whose overlaps are counted at once.
+BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 256, 500_000, 4096
 
 ENTRY = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<i4"), ("need", "<u2"), ("way", "u1"), ("hot", "u1")])
 NEVER = 65535
@@ -531,9 +538,76 @@ def _second_look(hard: DataFrame, comps: DataFrame, texts: DataFrame, n_parts: i
     return _distinct_pairs(rows.mapInArrow(by_key, _BLOBS).repartition(n_parts, "bucket").mapInArrow(across, _BLOBS), n_parts)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, max_group: int = MAX_GROUP) -> DataFrame:
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of x shares with each set of y."""
+    sets = x + y
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    row, at = row[shared[at]], (np.cumsum(shared) - 1)[at[shared[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out = np.zeros((len(x), len(y)), dtype=np.int64)
+    for k in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(at, (k, k + COLUMNS))
+        part = np.zeros((len(sets), at[b - 1] - k + 1), dtype=np.float32)
+        part[row[a:b], at[a:b] - k] = 1
+        out += (part[: len(x)] @ part[len(x) :].T).astype(np.int64)
+    return out
+
+
+def _block_links(lo: int, hi: int, members: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """(sig, links) of members (sig, copies, block, set) with those of the other block, or of their own one."""
+    x, y = ([m for m in members if m[2] == k] for k in (lo, hi))
+    if not x or not y:
+        return []
+    both = _overlaps([m[3] for m in x], [m[3] for m in y])
+    size, other = (np.array([len(m[3]) for m in own]) for own in (x, y))
+    near = 100 * both >= percent * (size[:, None] + other - both)
+    if lo == hi:
+        np.fill_diagonal(near, False)
+    found = list(zip([m[0] for m in x], (near @ np.array([m[1] for m in y])).tolist(), strict=True))
+    if lo != hi:
+        found += zip([m[0] for m in y], (near.T @ np.array([m[1] for m in x])).tolist(), strict=True)
+    return found
+
+
+def _links(members: DataFrame, texts: DataFrame, percent: int, n_parts: int) -> DataFrame:
+    """(sig, links): documents of other classes that the classes (sig, copies, component) are linked with."""
+    sized = members.join(texts.select("sig", "n"), "sig").groupBy("component")
+    blocks = saved(sized.agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
+    rows = members.join(small(blocks), "component").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    rows = rows.join(texts.select("sig", "packed"), "sig").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sig", "copies", "packed")
+
+    def compare(batches):
+        expand = zstandard.ZstdDecompressor()
+        key, held = None, []
+        for batch in _text.sliced(batches, 250):
+            found = []
+            sets = _sets_of([expand.decompress(t) for t in batch.column("packed").to_pylist()])
+            names, own = (zip(*(batch.column(k).to_pylist() for k in some), strict=True) for some in (("component", "lo", "hi"), ("sig", "copies", "block")))
+            for name, member, s in zip(names, own, sets, strict=True):
+                if name != key:
+                    found += _block_links(*key[1:], held, percent) if key else []
+                    key, held = name, []
+                held.append((*member, s))
+            yield links_batch(found)
+        if key:
+            yield links_batch(_block_links(*key[1:], held, percent))
+
+    def links_batch(found):
+        sig, n = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(n, pa.int64())], ["sig", "links"])
+
+    dealt = rows.repartition(n_parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+    return saved(dealt.mapInArrow(compare, "sig long, links long")).groupBy("sig").agg(F.sum("links").alias("links"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, max_group: int = MAX_GROUP, links: bool = False) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
+    links: with n_links, the number of other documents whose sets reach the similarity.
     percent must be 75 or more: the segment counts are laid out for that.
     """
     if percent < 75:
@@ -562,9 +636,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, max_group: int = MAX_GRO
     classes = classes.join(comps, classes.sig == comps.node, "left").select("sig", "least", "copies", "component")
     classes = saved(classes.where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "sig")))
     smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = saved(classes.join(smallest, "component").select("sig", "component_id"))
-    return light.join(small(names), "sig", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"))
+    names = classes.join(smallest, "component").select("sig", "copies", "component_id")
+    if links:
+        members = classes.join(comps.select(F.col("node").alias("sig")), "sig", "left_semi").select("sig", "copies", "component")
+        names = names.join(_links(members, texts, percent, n_parts), "sig", "left").select("*", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    names = saved(names.drop("copies", "links"))
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id")
+    out = light.join(small(names), "sig", "left")
+    if not links:
+        return out.select("doc_id", "n_shingles", component)
+    return out.select("doc_id", "n_shingles", component, F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0).cast("long"))).alias("n_links"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), links=True)
