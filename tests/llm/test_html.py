@@ -51,3 +51,16 @@ def test_neighbours_across_partitions(spark, monkeypatch):
     page = "<body><div>Motto</div><p>page {0}</p></body>"
     pages = spark.createDataFrame([(k, f"http://one.org/{k:04d}", page.format(k)) for k in range(50)], "page_id long, url string, html string")
     assert {r.text for r in html_text.extract(pages).collect()} == {f"page {k}" for k in range(50)}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_copies_without_article_keep_their_text(spark, monkeypatch, parts):
+    monkeypatch.setattr(html_text, "partitions", lambda df, factor=1.0: parts)
+    body = "<body><div>Motto</div><p>story {0}</p><p>end of {0}</p></body>"
+    copies = [(k, f"http://two.org/{k}", body.format("one")) for k in range(2)] + [(10 + k, f"http://main.org/{k}", f"<main>{body.format('main')}</main>") for k in range(9)]
+    runs = [(100 + k, f"http://runs.org/{k:03d}", body.format(k // 8)) for k in range(40)]
+    pages = spark.createDataFrame(copies + runs, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert all(got[k] == "Motto story one end of one" for k in range(2))
+    assert all(got[10 + k] == "Motto story main end of main" for k in range(9))
+    assert all(got[100 + k] == f"story {k // 8} end of {k // 8}" for k in range(40))

@@ -15,9 +15,9 @@ third of all pages is spread; the first and last pages of each partition are com
 a second, smaller round.
 
 Results for odd input: null or empty html gives an empty text; a null url belongs to
-the host "" and path ""; broken and cut-off markup is read as far as it goes; a page whose
-neighbour is an exact copy keeps its article; an empty table gives an empty result;
-extra columns are ignored.
+the host "" and path ""; broken and cut-off markup is read as far as it goes; pages with
+equal lines at neighbouring URLs count as one page, which is compared with the different
+pages around; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -204,35 +204,42 @@ def _place(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
-_LIGHT = "key long, host string, path string, page_id long, numbers array<int>, lines array<long>, needed array<boolean>"
+_LIGHT = "key long, content long, host string, path string, page_id long, numbers array<int>, lines array<long>, needed array<boolean>"
 _MET = f"edge boolean, pid int, deleted array<int>, {_LIGHT}"
 
 
 def _lines(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """What differencing needs of each page: hashes of the lines outside articles, and which of them count."""
-    out = [[], [], [], [], []]
+    """What differencing needs of each page: hashes of the lines outside articles, which of them count, and a name for both and the host."""
+    out = [[], [], [], [], [], []]
     for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
         page = Page(html or "")
         want = page.wanted()
         at = [k for k, p in enumerate(page.parts) if p != ARTICLE]
-        row = (*_place(url), at, [xxhash.xxh3_64_intdigest(page.lines[k]) - (1 << 63) for k in at], [page.parts[k] == want for k in at])
+        host, path = _place(url)
+        lines, needed = [xxhash.xxh3_64_intdigest(page.lines[k]) - (1 << 63) for k in at], [page.parts[k] == want for k in at]
+        content = xxhash.xxh3_64_intdigest(repr((host, at, lines, needed)).encode("utf-8", "surrogatepass")) - (1 << 63)
+        row = (content, host, path, at, lines, needed)
         for column, value in zip(out, row, strict=True):
             column.append(value)
-    kinds = (pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()))
-    host, path, numbers, lines, needed = (pa.array(x, t) for x, t in zip(out, kinds, strict=True))
-    return pa.RecordBatch.from_arrays([batch.column("key"), host, path, batch.column("page_id"), numbers, lines, needed], ["key", "host", "path", "page_id", "numbers", "lines", "needed"])
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()))
+    content, host, path, numbers, lines, needed = (pa.array(x, t) for x, t in zip(out, kinds, strict=True))
+    return pa.RecordBatch.from_arrays([batch.column("key"), content, host, path, batch.column("page_id"), numbers, lines, needed], ["key", "content", "host", "path", "page_id", "numbers", "lines", "needed"])
 
 
 def _shared(a: dict, b: dict) -> tuple[list[int], list[int]]:
-    """Numbers of the lines that count and that two neighbours of one host share."""
-    if a["host"] != b["host"] or a["key"] == b["key"] or not (any(a["needed"]) or any(b["needed"])):
+    """Numbers of the lines that count and that two neighbours of one host share; copies tell nothing of each other."""
+    if a["host"] != b["host"] or a["content"] == b["content"] or not (any(a["needed"]) or any(b["needed"])):
         return [], []
     left, right = common(a["lines"], b["lines"])
     return [a["numbers"][i] for i in left if a["needed"][i]], [b["numbers"][j] for j in right if b["needed"][j]]
 
 
 def _neighbours(light: DataFrame, n: int) -> DataFrame:
-    """(key, deleted): line numbers that a page shares with a page next to it in URL order."""
+    """(content, deleted): line numbers that a page shares with a page next to it in URL order.
+
+    They hold for all pages of that content, so of a run of copies the last one meets the
+    next different page, and the first one the page before.
+    """
 
     def meet(batches):
         def row(page, edge, deleted):
@@ -262,12 +269,12 @@ def _neighbours(light: DataFrame, n: int) -> DataFrame:
 
     rows = light if "edge" in light.columns else light.select(F.lit(False).alias("edge"), F.lit(None).cast("int").alias("pid"), F.array().cast("array<int>").alias("deleted"), "*")
     met = saved(rows.repartitionByRange(n, "host", "path", "page_id", "key").sortWithinPartitions("host", "path", "page_id", "key").mapInArrow(meet, _MET))
-    found = met.where("not edge").select("key", "deleted")
+    found = met.where("not edge").select("content", "deleted")
     return found if n == 1 else found.unionAll(_neighbours(met.where("edge"), max(1, n // 500)))
 
 
 def _table(rows: list[dict], names: list[str]) -> pa.RecordBatch:
-    kinds = {"edge": pa.bool_(), "pid": pa.int32(), "deleted": pa.list_(pa.int32()), "key": pa.int64(), "host": pa.string(), "path": pa.string(), "page_id": pa.int64(), "numbers": pa.list_(pa.int32()), "lines": pa.list_(pa.int64()), "needed": pa.list_(pa.bool_())}
+    kinds = {"edge": pa.bool_(), "pid": pa.int32(), "deleted": pa.list_(pa.int32()), "key": pa.int64(), "content": pa.int64(), "host": pa.string(), "path": pa.string(), "page_id": pa.int64(), "numbers": pa.list_(pa.int32()), "lines": pa.list_(pa.int64()), "needed": pa.list_(pa.bool_())}
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in names], names)
 
 
@@ -283,7 +290,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     lines = saved(pages.select("key", "page_id", "url", "html").mapInArrow(light, _LIGHT))
     deleted = _neighbours(lines, partitions(lines, 4.0))
-    deleted = saved(deleted.select("key", F.explode("deleted").alias("line")).groupBy("key").agg(F.collect_set("line").alias("deleted")))
+    deleted = saved(deleted.select("content", F.explode("deleted").alias("line")).groupBy("content").agg(F.collect_set("line").alias("deleted")))
+    if deleted.limit(1).count():
+        deleted = saved(lines.select("key", "content").distinct().join(small(deleted), "content").select("key", "deleted"))
 
     def texts(batches):
         for batch in batches:
