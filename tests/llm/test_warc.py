@@ -57,3 +57,18 @@ def test_chains():
         warc.reachable(starts, nexts, 60)
     with pytest.raises(ValueError):
         warc.reachable(starts[1:], nexts[1:], 50)
+
+
+def test_long_urls(spark):
+    pages = [(k, "http://a/" + "u" * n, prose(k, 40)) for k, n in enumerate([10, 65_000, 70_000, 300_000, 20])]
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+    got = {r.page_id: bytes(r.payload).decode() for r in warc.read_archives(spark, path, payload=True).collect()}
+    assert got == {k: html for k, _, html in pages}
+
+
+def test_many_magics_without_a_header():
+    html = warc.MAGIC * 200_000
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + html
+    data = warc.MAGIC + b"WARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    assert [x.tolist() for x in warc.candidates(data)[::2]] == [[0], [len(data)]]

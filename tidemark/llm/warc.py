@@ -9,7 +9,7 @@ the candidates of its archive, every place with the magic and a header, with the
 offset where that record's successor would start; pointer jumping from offset 0 then
 keeps the candidates that a chain of whole records reaches.
 
-Archives are bounded: records per file are set from the mean and the largest payload.
+Archives are bounded: records per file are set from the mean and the largest payload with its URL.
 
 Results for odd input: null html is an empty payload, and payloads below
 ``MIN_REVISIT`` are always responses; rows with a null page_id are responses; rows that
@@ -25,7 +25,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._spark import saved, shared_dir, small, table
@@ -34,12 +34,14 @@ MAGIC = b"WARC/1.0\r\n"
 MIN_REVISIT = 100
 #: Usual and greatest bytes of one archive.
 FILE_BYTES, FILE_LIMIT = 16 << 20, 512 << 20
-#: Bytes within which a record's header has to end.
-HEADER_BYTES = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def _escaped(url: str) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), "\r", "%0D"), "\n", "%0A")
+
+
 def records(pages: DataFrame) -> DataFrame:
     """One string column ``record``: header and block of each page, without the two final line breaks."""
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -50,7 +52,7 @@ def records(pages: DataFrame) -> DataFrame:
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size"), F.lit("\r\n\r\n"))
     block = F.octet_length(http) + F.when(F.col("revisit"), 0).otherwise(F.col("size"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
-    url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
+    url = _escaped("url")
     kind = F.when(F.col("revisit"), "revisit").otherwise("response")
     back = F.when(F.col("revisit"), F.concat(F.lit(f"WARC-Profile: {REVISIT}\r\nWARC-Refers-To: "), name(F.col("first")), F.lit("\r\n"))).otherwise("")
     head = F.concat(
@@ -62,7 +64,7 @@ def records(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write the pages as .warc content under a folder of any file system that Spark writes to."""
-    mean, most = pages.select(F.octet_length(F.col("html").cast("string")).alias("n")).agg(F.avg("n"), F.max("n")).first()
+    mean, most = pages.select((F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) + F.octet_length(_escaped("url"))).alias("n")).agg(F.avg("n"), F.max("n")).first()
     each = max(1, min(int(FILE_BYTES / ((mean or 0) + 600)), FILE_LIMIT // ((most or 0) + 600)))
     records(pages).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", each).text(path)
 
@@ -73,11 +75,16 @@ _LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)", re.I)
 def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets of all places that look like a record, where their blocks start, and their successors' offsets."""
     starts, blocks, nexts = [], [], []
-    at = data.find(MAGIC)
+    at, head, length = data.find(MAGIC), -1, None
     while at >= 0:
-        head = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-        length = _LENGTH.search(data, at, head) if head >= 0 else None
-        if length and len(length[1]) < 16:
+        # the next ones from here; kept while they lie ahead, so that every byte is searched once
+        if head < at:
+            head = data.find(b"\r\n\r\n", at)
+        if length is None or length.start() < at:
+            length = _LENGTH.search(data, at)
+        if head < 0 or length is None:
+            break
+        if length.end() <= head and len(length[1]) < 16:
             end = head + 4 + int(length[1])
             if data[end : end + 4] == b"\r\n\r\n":
                 starts.append(at)
