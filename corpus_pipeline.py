@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard_join, mixture, quality_rules, shards
-from tidemark.llm._spark import BROADCAST_ROWS, saved, table
+from tidemark.llm._spark import BROADCAST_ROWS, saved, small, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,15 +19,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that whose doc_id names it, and once if its row is repeated.
+    """One row of each group: that with the smallest doc_id, of several texts under it one, and once if it is repeated.
 
     Rows with a null doc_id are not compared and stay.
     """
-    found = jaccard_join.near_duplicates(docs).where("doc_id is not null")
-    others = saved(found.where("doc_id <> component_id").select("doc_id").distinct())
+    found = jaccard_join.near_duplicates(docs, keys=True).where("doc_id is not null")
+    grouped = found.where("family is not null").select("family", F.struct("doc_id", "row").alias("own"))
+    first = saved(grouped.groupBy("family").agg(F.min("own").alias("first")))
+    others = saved(grouped.join(small(first), "family").where("own <> first").select(F.col("own.doc_id").alias("other_id"), F.col("own.row").alias("other_row")).distinct())
     # the rows to drop are sent to all tasks only while they are few; else both sides are shuffled
     drop = F.broadcast(others) if others.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else others
-    kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    same = (docs["doc_id"].cast("long") == drop["other_id"]) & (jaccard_join.row_key(docs) == drop["other_row"])
+    kept = docs.join(drop, same, "left_anti").select(*docs.columns)
     twice = saved(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not twice.limit(1).count():
         return kept

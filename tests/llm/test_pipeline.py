@@ -1,4 +1,4 @@
-from helpers import documents, empty
+from helpers import documents, empty, prose
 
 import corpus_pipeline
 
@@ -38,3 +38,14 @@ def test_queries_are_registered():
     from tidemark.llm.queries import ORACLE, QUERIES
 
     assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
+
+
+def test_texts_that_share_a_doc_id(spark):
+    base, other, alone = prose(31, 120), prose(32, 120), prose(33, 120)
+    near = lambda t: t.replace(t.split()[50], "changed")
+    texts = [(1, base), (2, near(base)), (2, alone), (3, other), (3, near(other)), (4, None), (4, ""), (4, "")]
+    rows = corpus_pipeline.near_duplicates(spark, documents(spark, [(*t, "en", "s") for t in texts]), DATA).collect()
+    got = [(r.doc_id, r.text) for r in rows]
+    assert (1, base) in got and (2, alone) in got and (2, near(base)) not in got
+    assert sum(i == 3 for i, _ in got) == 1 and sorted(str(x) for x in got if x[0] == 4) == ["(4, '')", "(4, None)"]
+    assert len(got) == 5

@@ -32,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import _text
@@ -61,7 +61,7 @@ ENTRY = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<i4"), ("need", "<u2"),
 NEVER = 65535
 _SETS = np.dtype([(k, ENTRY[k]) for k in ("sig", "n", "need", "way", "hot")])
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
-LIGHT = np.dtype([("doc_id", "<i8"), ("n", "<i8"), ("sig", "<i8"), ("known", "u1")])
+LIGHT = np.dtype([("doc_id", "<i8"), ("n", "<i8"), ("sig", "<i8"), ("known", "u1"), ("row", "<i8")])
 
 
 def shingle_sets(texts: list[bytes]):
@@ -267,6 +267,8 @@ def _candidates(docs: DataFrame, n_parts: int, max_group: int) -> DataFrame:
             ids = batch.column("doc_id")
             light = np.zeros(batch.num_rows, dtype=LIGHT)
             light["doc_id"], light["known"] = ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid())
+            if "row" in batch.schema.names:
+                light["row"] = batch.column("row").to_numpy()
             for rows, n, h, doc in shingle_sets(_text.utf8(batch.column("text"))):
                 sig = _class_ids(h, doc, n)
                 light["n"][rows], light["sig"][rows] = n, sig
@@ -296,15 +298,15 @@ def _candidates(docs: DataFrame, n_parts: int, max_group: int) -> DataFrame:
 
 
 def _documents(found: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, sig) of every document."""
+    """(doc_id, n_shingles, sig, row) of every document."""
 
     def rows(batches):
         for batch in _text.sliced(batches):
             for blob in batch.column(0).to_pylist():
                 x = np.frombuffer(blob, dtype=LIGHT)
-                yield pa.RecordBatch.from_arrays([pa.array(x["doc_id"].copy(), mask=x["known"] == 0), pa.array(x["n"].copy()), pa.array(x["sig"].copy())], ["doc_id", "n_shingles", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(x["doc_id"].copy(), mask=x["known"] == 0), pa.array(x["n"].copy()), pa.array(x["sig"].copy()), pa.array(x["row"].copy())], ["doc_id", "n_shingles", "sig", "row"])
 
-    return found.where(F.col("kind") == _LIGHT).select("blob").mapInArrow(rows, "doc_id long, n_shingles long, sig long")
+    return found.where(F.col("kind") == _LIGHT).select("blob").mapInArrow(rows, "doc_id long, n_shingles long, sig long, row long")
 
 
 def _dealt_pairs(p: np.ndarray, n_parts: int) -> pa.RecordBatch:
@@ -604,10 +606,17 @@ def _links(members: DataFrame, texts: DataFrame, percent: int, n_parts: int) ->
     return saved(dealt.mapInArrow(compare, "sig long, links long")).groupBy("sig").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, max_group: int = MAX_GROUP, links: bool = False) -> DataFrame:
+def row_key(docs: DataFrame) -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64(docs["text"].cast("string"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, max_group: int = MAX_GROUP, links: bool = False, keys: bool = False) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
     links: with n_links, the number of other documents whose sets reach the similarity.
+    keys: with row (the text's hash) and family, which tell rows and components apart where
+    doc_ids repeat; family is null for a row that is alone.
     percent must be 75 or more: the segment counts are laid out for that.
     """
     if percent < 75:
@@ -615,7 +624,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, max_group: int = MAX_GRO
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n_parts = partitions(docs, 2.0)
 
-    found = _candidates(docs, n_parts, max_group)
+    found = _candidates(docs.withColumn("row", row_key(docs)) if keys else docs, n_parts, max_group)
     light = _documents(found)
     classes = saved(light.where("doc_id is not null and n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     hard = _hard_sets(found.where(F.col("kind") == _HOT), n_parts)
@@ -636,16 +645,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, max_group: int = MAX_GRO
     classes = classes.join(comps, classes.sig == comps.node, "left").select("sig", "least", "copies", "component")
     classes = saved(classes.where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "sig")))
     smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = classes.join(smallest, "component").select("sig", "copies", "component_id")
+    names = classes.join(smallest, "component").select("sig", "copies", "component_id", F.col("component").alias("family"))
     if links:
         members = classes.join(comps.select(F.col("node").alias("sig")), "sig", "left_semi").select("sig", "copies", "component")
         names = names.join(_links(members, texts, percent, n_parts), "sig", "left").select("*", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     names = saved(names.drop("copies", "links"))
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id")
-    out = light.join(small(names), "sig", "left")
-    if not links:
-        return out.select("doc_id", "n_shingles", component)
-    return out.select("doc_id", "n_shingles", component, F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0).cast("long"))).alias("n_links"))
+    known = F.col("doc_id").isNotNull()
+    columns = ["doc_id", "n_shingles", F.when(known, F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id")]
+    if links:
+        columns.append(F.when(known, F.coalesce("n_links", F.lit(0).cast("long"))).alias("n_links"))
+    if keys:
+        columns += ["row", F.when(known, F.col("family")).alias("family")]
+    return light.join(small(names), "sig", "left").select(*columns)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
