@@ -8,9 +8,6 @@ ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ":".join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
 
-DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -28,6 +25,7 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from tables import DATA, TABLES
 
     con = duckdb.connect()
     for t in TABLES:

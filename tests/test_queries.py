@@ -4,7 +4,7 @@ from collections import Counter
 from decimal import Decimal
 
 import pytest
-from conftest import DATA
+from tables import DATA
 
 from tidemark.plans.registry import ORACLE, QUERIES
 
