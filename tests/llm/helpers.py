@@ -12,13 +12,22 @@ def prose(seed: int, n: int) -> str:
     return " ".join(draw.choice(WORDS) + draw.choice(["", "", "s", "ed", "ing"]) + str(draw.randint(0, 9)) for _ in range(n))
 
 
+def thue_morse(size=1024):
+    """Two words of a and b that every polynomial hash modulo 2**64 with an odd base takes for one."""
+    bits = [k.bit_count() & 1 for k in range(size)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def odd_rows():
-    """(doc_id, text, lang, source): nulls, blanks, long texts, ties, repeats, near copies, shared passages."""
+    """(doc_id, text, lang, source): nulls, blanks, long texts, ties, repeats, near copies, shared passages, words that weak hashes confuse."""
     base, passage = prose(1, 120), prose(2, 60)
+    one, other = thue_morse()
+    around = prose(9, 30), prose(10, 20)
     return [
         (1, base, "en", "src0"), (2, base, "en", "src0"), (3, base.replace("stone", "stoned"), "en", "src0"), (4, None, "en", "src1"), (5, "", None, None), (6, " \n\t ", "de", "src1"),
         (7, "one two three", "en", "src1"), (8, "one two three", "en", "src1"), (9, "ONE  two\nthree", "en", "src1"), (10, prose(3, 30) + " " + passage + " " + prose(4, 30), "fr", "src2"), (11, passage + " " + prose(5, 50), "es", "src2"),
         (12, "same " * 400, "en", "src2"), (13, prose(6, 20_000), "en", "src3"), (14, "x" * 200_000, "en", "src3"), (15, "été déjà vu " * 30, "fr", "src3"), (15, prose(7, 70), "fr", "src3"), (15, prose(7, 70), "fr", "src3"), (None, base, "en", "src0"), (16, prose(8, 80), "en", "src4"),
+        (17, one, "en", "src4"), (18, other, "en", "src4"), (19, f"{around[0]} {one} {around[1]}", "en", "src4"), (20, f"{around[0]} {other} {around[1]}", "en", "src4"),
     ]
 
 

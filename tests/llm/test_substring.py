@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 from helpers import documents, empty, words
 
@@ -39,3 +40,12 @@ def test_texts_and_empty_table(spark):
     kept = {r.doc_id: r.kept for r in substring_dedup.remove_repeats(documents(spark, [(1, "a b  c", None, None), (2, None, None, None)])).collect()}
     assert kept == {1: "a b c", 2: ""}
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
+
+
+def test_windows_that_share_64_bits_stay_apart():
+    w = np.array([(5, 1), (5, 2), (5, 1), (7, 1), (5, 2)], dtype=substring_dedup.WINDOW)
+    assert substring_dedup._repeats(w, np.array([1, 2, 3, 4, 4])).tolist() == [False, False, True, False, True]
+    kinds, least, most = substring_dedup._distinct(w, np.arange(5), np.arange(5))
+    assert kinds.tolist() == [(5, 1), (5, 2), (7, 1)] and least.tolist() == [0, 1, 3] and most.tolist() == [2, 4, 3]
+    known = np.array([(5, 1), (5, 2)], dtype=substring_dedup.WINDOW)
+    assert substring_dedup._known(known, np.array([3, 1]), w, np.array([2, 2, 4, 9, 1])).tolist() == [False, True, True, False, False]

@@ -1,6 +1,7 @@
 """Removal of word windows that repeat in an earlier document.
 
-Every window of ``width`` consecutive words gets a 64-bit Rabin-Karp hash.
+Every window of ``width`` consecutive words gets a Rabin-Karp hash modulo three primes: 93 bits,
+so that no two different windows of 100 TB (1.7e13 of them) are likely to share one.
 Consecutive windows with the same minimiser (smallest hash of the short word
 runs inside the window) form a run; equal windows have equal minimisers, so runs
 are dealt to partitions by minimiser and windows are counted there.  A window
@@ -40,6 +41,8 @@ SEED_WORDS = 10
 #: Runs of one minimiser that are always handled in one task.
 HOT_RUNS = 1000
 
+#: Hash of a window: two residues mixed, and the third one.
+WINDOW = np.dtype([("h", "<u8"), ("x", "<u4")])
 _RUNS = "m long, doc_id long, crc int, pos int, hashes binary"
 
 
@@ -55,10 +58,13 @@ def _minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 def _runs(chunk: _text.Chunk, width: int) -> tuple[np.ndarray, ...]:
     """Of a chunk: window hashes; for each run its bounds in them, minimiser, first word and document."""
-    hashes, at, doc = chunk.windows(width)
+    every = _text.rolling(chunk.hash, width)
+    at, doc = chunk.inside(every, width)
+    hashes = np.empty(len(at), dtype=WINDOW)
+    hashes["h"], hashes["x"] = every[at], _text.residue(chunk.hash, width, 2)[at]
     seed = min(SEED_WORDS, width)
     if not len(hashes):
-        return hashes, np.zeros(1, dtype=np.int64), hashes, at, doc
+        return hashes, np.zeros(1, dtype=np.int64), every, at, doc
     m = _minimum(_text.rolling(chunk.hash, seed), width - seed + 1)[at]
     new = np.ones(len(m), dtype=bool)
     new[1:] = (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])
@@ -80,13 +86,22 @@ def _parts(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
             yield hashes, bounds, m.view(np.int64), numbers[rows], crc[rows], (word - chunk.first[doc]).astype(np.int32)
 
 
-def _repeats(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def _ordered(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the windows that puts equal ones together, and where each kind of them begins in it."""
+    order = np.argsort(w["h"], kind="stable")
+    near, differ = (np.diff(w[k][order]) != 0 for k in ("h", "x"))
+    if (~near & differ).any():  # different windows share their first 64 bits
+        order = np.lexsort((w["x"], w["h"]))
+        near, differ = (np.diff(w[k][order]) != 0 for k in ("h", "x"))
+    return order, np.flatnonzero(np.concatenate((np.ones(min(1, len(w)), dtype=bool), near | differ)))
+
+
+def _repeats(w: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which windows also occur with a smaller document."""
-    order = np.argsort(hashes, kind="stable")
-    h, d = hashes[order], doc[order]
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    least = np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(h))))
-    out = np.zeros(len(h), dtype=bool)
+    order, first = _ordered(w)
+    d = doc[order]
+    least = np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(w))))
+    out = np.zeros(len(w), dtype=bool)
     out[order] = d > least
     return out
 
@@ -142,8 +157,8 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, hot_runs: int = HOT_
             crc.append(batch.column(2).to_numpy())
             pos.append(batch.column(3).to_numpy())
             values = batch.column(4).to_pylist()
-            sizes.append(np.array([len(v) // 8 for v in values], dtype=np.int64))
-            blobs.append(np.frombuffer(b"".join(values), dtype=np.uint64))
+            sizes.append(np.array([len(v) // WINDOW.itemsize for v in values], dtype=np.int64))
+            blobs.append(np.frombuffer(b"".join(values), dtype=WINDOW))
         if not m:
             return
         m, doc, crc, pos, sizes = (np.concatenate(x) for x in (m, doc, crc, pos, sizes))
@@ -170,12 +185,26 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, hot_runs: int = HOT_
     return found.unionAll(_hot_intervals(docs, is_hot, width, n_parts)) if len(hot) else found
 
 
-def _distinct(h: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes in order with the smallest and the largest document of each."""
-    order = np.argsort(h, kind="stable")
-    h, least, most = h[order], least[order], most[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), dtype=bool), h[1:] != h[:-1])))
-    return (h[first], np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)) if len(h) else (h, least, most)
+def _distinct(w: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows in order with the smallest and the largest document of each."""
+    if not len(w):
+        return w, least, most
+    order, first = _ordered(w)
+    return w[order][first], np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
+
+
+def _known(known: np.ndarray, least: np.ndarray, w: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which windows are in a table sorted by (h, x) with a smaller document."""
+    out = np.zeros(len(w), dtype=bool)
+    if not len(known):
+        return out
+    h = np.ascontiguousarray(known["h"])
+    at = np.searchsorted(h, w["h"])
+    _, alike = np.unique(h, return_counts=True)
+    for step in range(int(alike.max())):
+        k = np.minimum(at + step, len(known) - 1)
+        out |= (known[k] == w) & (least[k] < doc)
+    return out
 
 
 def _hot_intervals(docs: DataFrame, is_hot, width: int, n_parts: int) -> DataFrame:
@@ -192,7 +221,7 @@ def _hot_intervals(docs: DataFrame, is_hot, width: int, n_parts: int) -> DataFra
             if not sum(map(len, h)):
                 continue
             h, least, most = _distinct(np.concatenate(h), np.concatenate(d), np.concatenate(d))
-            bucket = (h % np.uint64(n_parts)).astype(np.int32)
+            bucket = (h["h"] % np.uint64(n_parts)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             first = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0)))
             bounds = np.append(first, len(h))
@@ -201,7 +230,7 @@ def _hot_intervals(docs: DataFrame, is_hot, width: int, n_parts: int) -> DataFra
     def merged(batches):
         have = [[], [], []]
         for batch in _text.sliced(batches):
-            for out, name, kind in zip(have, ("h", "least", "most"), (np.uint64, np.int64, np.int64), strict=True):
+            for out, name, kind in zip(have, ("h", "least", "most"), (WINDOW, np.int64, np.int64), strict=True):
                 out.append(np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=kind))
         if have[0]:
             h, least, most = _distinct(*(np.concatenate(x) for x in have))
@@ -214,18 +243,15 @@ def _hot_intervals(docs: DataFrame, is_hot, width: int, n_parts: int) -> DataFra
     schema = "doc_id long, crc int, start int, end int"
     if (repeated.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_ROWS:
         rows = repeated.collect()
-        known = np.frombuffer(b"".join(r.h for r in rows), dtype=np.uint64)
-        order = np.argsort(known)
+        known = np.frombuffer(b"".join(r.h for r in rows), dtype=WINDOW)
+        order = np.lexsort((known["x"], known["h"]))
         known, least = known[order], np.frombuffer(b"".join(r.least for r in rows), dtype=np.int64)[order]
 
         def looked_up(batches):
             for batch in _text.sliced(batches):
                 for hashes, bounds, m, doc, crc, pos in _parts(batch, width):
-                    if not len(known):
-                        continue
                     run = np.repeat(np.arange(len(m)), np.diff(bounds))
-                    k = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                    flags = is_hot(m)[run] & (known[k] == hashes) & (least[k] < doc[run])
+                    flags = is_hot(m)[run] & _known(known, least, hashes, doc[run])
                     word = np.arange(len(hashes)) - bounds[run] + pos[run]
                     which, start, end = _merged(flags, run, word, width)
                     yield pa.RecordBatch.from_arrays([pa.array(doc[which]), pa.array(crc[which]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], columns)
@@ -238,15 +264,16 @@ def _hot_intervals(docs: DataFrame, is_hot, width: int, n_parts: int) -> DataFra
                 run = np.repeat(np.arange(len(m)), np.diff(bounds))
                 take = np.flatnonzero(is_hot(m)[run])
                 word = (np.arange(len(hashes)) - bounds[run] + pos[run]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)[take]), pa.array(doc[run][take]), pa.array(crc[run][take]), pa.array(word[take])], ["h", "doc_id", "crc", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes["h"].astype(np.uint64).view(np.int64)[take]), pa.array(hashes["x"].astype(np.int64)[take]), pa.array(doc[run][take]), pa.array(crc[run][take]), pa.array(word[take])], ["h", "x", "doc_id", "crc", "pos"])
 
     def spread(batches):
         for batch in _text.sliced(batches):
             for h, least in zip(batch.column("h").to_pylist(), batch.column("least").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, dtype=np.int64)), pa.array(np.frombuffer(least, dtype=np.int64))], ["h", "least"])
+                w = np.frombuffer(h, dtype=WINDOW)
+                yield pa.RecordBatch.from_arrays([pa.array(w["h"].astype(np.uint64).view(np.int64)), pa.array(w["x"].astype(np.int64)), pa.array(np.frombuffer(least, dtype=np.int64))], ["h", "x", "least"])
 
-    each = docs.mapInArrow(windows, "h long, doc_id long, crc int, pos int")
-    again = each.join(repeated.mapInArrow(spread, "h long, least long"), "h").filter(F.col("doc_id") > F.col("least"))
+    each = docs.mapInArrow(windows, "h long, x long, doc_id long, crc int, pos int")
+    again = each.join(repeated.mapInArrow(spread, "h long, x long, least long"), ["h", "x"]).filter(F.col("doc_id") > F.col("least"))
     return again.select("doc_id", "crc", F.col("pos").alias("start"), (F.col("pos") + width).cast("int").alias("end"))
 
 
