@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when it has been counted and is no larger than this.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 #: Rows of an Arrow batch in stages that are written.
 BATCH_ROWS = 1000
 #: Estimates from here on mean that Spark does not know a size.
@@ -59,9 +60,17 @@ def partitions(df: DataFrame, factor: float = 1.0) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(size * factor / PARTITION_BYTES) + 1, 1 << 20))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a narrow table that has been written, if its counted rows stay below the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _width(name: str, kind: str) -> Column:
+    """Bytes of a column's value, about."""
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(name), F.lit(0))
+    return F.coalesce(F.size(name), F.lit(0)) * 16 if kind.startswith("array") else F.lit(8)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint for a table that has been written, if its counted rows and bytes stay below the bounds."""
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(sum((_width(*x) for x in df.dtypes), F.lit(0)))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= most else df
 
 
 def both(*conditions: Column) -> Column:
