@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+from collections import Counter
 
 import numpy as np
 from helpers import documents, empty, odd_rows
@@ -78,3 +80,57 @@ def test_reliabilities_match_numpy(spark):
         no = np.array([[((n * (1 - q))[votes[:, j] == v].sum() + weight * pii.FIRST_NO[v]) / ((n * (1 - q)).sum() + weight) for v in range(3)] for j in range(pii.LABELERS)])
     for v, q in zip(map(tuple, votes.tolist()), posterior(), strict=True):
         assert abs(got[v] - q) < 1e-9
+
+
+def planted(seed, n):
+    """Texts with added-span candidates in four languages: (text, real spans, other candidates) with places."""
+    draw = random.Random(seed)
+    digits = lambda k: "".join(draw.choice("0123456789") for _ in range(k))
+    letters = lambda k, some="abcdefghijklmnopqrstuvwxyz": "".join(draw.choice(some) for _ in range(k))
+    valid = lambda d: next(d + x for x in "0123456789" if luhn(d + x))
+    lead = {
+        "email": ["mail me at ", "Schreib an ", "mon courriel est ", "mi correo es ", "contact: "], "phone": ["call ", "Tel. ", "téléphone ", "móvil ", "fax: ", "phone "],
+        "card": ["my card ", "Kreditkarte ", "carte ", "tarjeta ", "visa: "], "secret": ["token = ", "password: ", "Kennwort: ", "mot de passe: ", "clave: ", "api_key="],
+    }
+    out = []
+    for _ in range(n):
+        real, other, text = [], [], "Some words "
+        for kind in draw.sample(sorted(lead), 2):
+            span = {
+                "email": f"{letters(6)} (at) {letters(5)} (dot) com", "phone": f"{draw.choice('23456789')}{digits(2)}-{digits(3)}-{digits(4)}",
+                "card": " ".join(re.findall(".{1,4}", valid(draw.choice("3456") + digits(11)))), "secret": letters(32, "0123456789abcdef") + digits(4),
+            }[kind]
+            text += draw.choice(lead[kind])
+            real.append((kind, len(text), len(text) + len(span)))
+            text += span + draw.choice([" and so on ", ". ", ", und weiter ", " et puis "])
+        for _ in range(2):
+            kind, span = draw.choice([("secret", "https://x.org/" + "-".join(letters(6) for _ in range(5)) + digits(1)), ("secret", "_".join(letters(8) for _ in range(4)) + "_v" + digits(1)), ("card", "order 0" + digits(13)), ("phone", "part 100-" + digits(3) + "-" + digits(4))])
+            text += "see "
+            other.append((kind, len(text), len(text) + len(span)))
+            text += span + " there "
+        out.append((text, real, other))
+    return out
+
+
+def test_added_spans_are_found(spark):
+    rows = planted(3, 600)
+    docs = documents(spark, [(k, t, "en", "s") for k, (t, *_) in enumerate(rows)])
+    hit, asked, wrong, given = Counter(), Counter(), 0, 0
+    for r in pii.find(docs).collect():
+        found = {(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)}
+        _, real, other = rows[r.doc_id]
+        assert r.n_spans == len(found) and r.n_added == r.n_spans - r.n_email - r.n_ip - r.n_card - r.n_phone
+        for span in real:
+            asked[span[0]] += 1
+            # a card number of 14 digits or more may be a base span
+            hit[span[0]] += any(k == span[0] and a <= span[1] and span[2] <= b for k, a, b in found)
+        wrong += sum(any(a < e and s < b for _, a, b in found) for _, s, e in other)
+        given += len(other)
+    assert all(hit[k] >= 0.9 * asked[k] for k in asked), (hit, asked)
+    assert wrong <= 0.1 * given, (wrong, given)
+
+
+def test_marks_in_texts_change_nothing(spark):
+    text = f"{pii.MARK}a{pii.MARK}@b.co {pii.MARK} mail x.y@z.org +1 234 567 8901{pii.MARK}"
+    row = pii.find(documents(spark, [(1, text, "en", "s")])).collect()[0]
+    assert (row.n_email, row.n_phone, row.spans) == (1, 1, ",".join(f"{k}:{a}:{b}" for a, _, k, b in brute(text)))

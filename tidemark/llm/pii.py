@@ -6,12 +6,13 @@ accepts, long key-like strings) get votes from labelers that use a pattern, a
 gazetteer of trigger words, the characters around, and check digits or character mix.
 Expectation-maximisation over the counts of vote patterns estimates how reliable each
 labeler is; its posteriors are the soft labels from which a naive Bayes classifier of spans
-(kind, length, shape, neighbours, votes) is trained.  Candidates that the
-classifier accepts and that touch no base span are added.
+(length, shape, trigger word, neighbours, check digits, all given the kind) is trained.  Candidates
+for which the classifier's odds are above one and that touch no base span are added.
 
 Patterns use possessive repeats and run-start look-behinds, so long runs of one
-character class take linear time and no recursion.  Positions come from sums of the lengths
-between matches, a window per document; whole texts are never shuffled.
+character class take linear time and no recursion.  Each pattern passes over a text once, putting a
+mark on both sides of its matches; positions are sums of the lengths of what stands between
+the marks, a window per document.  Whole texts are never shuffled.
 
 Results for odd input: null and empty texts have no spans and the digest of the empty
 string; rows with a null or repeated doc_id are each reported; an empty table gives
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._spark import saved, table
+from tidemark.llm._spark import saved, small, table
 
 # The base patterns, in the order in which kinds are listed.
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -37,16 +38,16 @@ BASE = {
 LOOSE = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}++ ?+[\(\[]at[\)\]] ?+[A-Za-z0-9-]++(?: ?+(?:\.|[\(\[]dot[\)\]]) ?+[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+.-])\(?+[0-9]{3}\)?+[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9])(?:[0-9][ -]?+){12,18}[0-9](?![0-9])",
+    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
 }
 KINDS = ["email", "ip", "card", "phone", "secret"]
 #: Words in front of a span that speak for its kind.
-GAZETTEER = {
-    "email": "mail|contact|write to|address",
-    "card": "card|visa|amex|master|credit|debit|payment",
-    "phone": "phone|tel|call|mobile|cell|fax|whatsapp",
-    "secret": "token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private",
+GAZETTEER = {  # English, German, French, Spanish
+    "email": "mail|contact|write to|address|kontakt|schreib|adresse|courriel|courrier|écri|correo|escrib|direcci",
+    "card": "card|visa|amex|master|credit|debit|payment|karte|zahlung|kredit|carte|paiement|tarjeta|pago|crédit|crédito",
+    "phone": "phone|tel|call|mobile|cell|fax|whatsapp|anruf|handy|mobil|rufnummer|appel|portable|móvil|llama|teléfono|téléphone",
+    "secret": "token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private|kennwort|schlüssel|geheim|zugang|mot de passe|jeton|clé|contraseña|clave|secreto",
 }
 CONTEXT = 24
 LABELERS = 4
@@ -55,6 +56,11 @@ EM_ROUNDS = 25
 #: many candidates' weight that is kept.
 FIRST_YES, FIRST_NO, FIRST_WEIGHT = (0.1, 0.5, 0.4), (0.4, 0.1, 0.5), 30.0
 
+#: Put around matches; where a text has it itself it counts as another character that no pattern names.
+MARK, INSTEAD = "\ufdd0", "\ufffd"
+#: Added to the sums of soft labels.
+SMOOTH = 0.5
+
 _KEEP = {
     "email": "text like '%@%'",
     "ip": r"text rlike '[0-9]\\.[0-9]'",
@@ -67,20 +73,23 @@ _KEEP = {
 }
 
 
-def _matches(kind: str, pattern: str, base: bool) -> Column:
-    """Matches of one kind in ``text``, the length of the text before each, and its context."""
-    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    gaps = F.split("text", pattern, -1)
-    after = F.lit("") if base else F.lit(None)
-    parts = F.arrays_zip(
-        found.alias("span"),
-        F.transform(F.slice(gaps, 1, F.size(found)), lambda x: F.length(x)).alias("gap"),
-        F.transform(F.slice(gaps, 1, F.size(found)), lambda x: F.lit("") if base else F.right(x, F.lit(CONTEXT))).alias("before"),
-        F.transform(F.slice(gaps, 2, F.size(found)), lambda x: after if base else F.left(x, F.lit(1))).alias("after"),
-    )
-    key = kind if base else f"loose_{kind}"
-    none = F.lit(None).cast("array<struct<span:string,gap:int,before:string,after:string>>")
-    return F.struct(F.lit(kind).alias("kind"), F.lit(base).alias("base"), F.when(F.expr(_KEEP[key]), parts).otherwise(none).alias("found"))
+def _marked(pattern: str, key: str) -> Column:
+    """The text cut at both sides of every match: gaps at even places, matches at odd ones; null where there can be none."""
+    cut = F.split(F.regexp_replace("safe", pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    return F.when(F.expr(_KEEP[key]), cut)
+
+
+def _matches(kind: str, parts: Column, base: bool) -> Column:
+    """Matches of one kind, the length of the text before each, and its context."""
+    odd = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i % 2 == 1)
+    found = F.transform(
+        odd,
+        lambda i: F.struct(
+            F.get(parts, i).alias("span"), F.length(F.get(parts, i - 1)).alias("gap"),
+            (F.lit("") if base else F.right(F.get(parts, i - 1), F.lit(CONTEXT))).alias("before"), (F.lit("") if base else F.left(F.get(parts, i + 1), F.lit(1))).alias("after"),
+        ),
+    )
+    return F.struct(F.lit(kind).alias("kind"), F.lit(base).alias("base"), F.when(F.size(parts) > 1, found).alias("found"))
 
 
 def _digits(span: Column) -> Column:
@@ -109,7 +118,9 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rid, doc_id) of all rows, and all valid base spans and loose candidates with their places."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    sets = [_matches(k, p, True) for k, p in BASE.items()] + [_matches(k, p, False) for k, p in LOOSE.items()]
+    rows = rows.select("doc_id", "text", F.translate("text", MARK, INSTEAD).alias("safe"))
+    rows = rows.select("doc_id", *[_marked(p, k).alias(f"at_{k}") for k, p in BASE.items()], *[_marked(p, f"loose_{k}").alias(f"at_loose_{k}") for k, p in LOOSE.items()])
+    sets = [_matches(k, F.col(f"at_{k}"), True) for k in BASE] + [_matches(k, F.col(f"at_loose_{k}"), False) for k in LOOSE]
     rows = rows.select("doc_id", F.filter(F.array(*sets), lambda x: F.size(x["found"]) > 0).alias("sets"))
     rows = saved(rows.withColumn("rid", F.monotonically_increasing_id()))  # fixed once written
     each = rows.select("rid", F.posexplode("sets").alias("place", "s")).select("rid", "place", "s.kind", "s.base", F.posexplode("s.found").alias("pos", "x"))
@@ -179,31 +190,42 @@ def _posterior(p: Column, s: Column) -> Column:
     return yes / (yes + no)
 
 
+def _marks(kind: Column, span: Column, before: Column, after: Column) -> Column:
+    """What the classifier sees of a candidate: one value for each feature."""
+    has = lambda *classes: F.concat(*[F.when(span.rlike(f"[{x}]"), y).otherwise("") for x, y in classes])
+    digits = F.length(_digits(span))
+    _, word, around, check = _votes(kind, span, before, after)
+    return F.array(
+        has(("a-z", "a"), ("A-Z", "A"), ("0-9", "0"), ("(", "b"), (r"\s", "s"), (r"\-", "-"), (".", ".")), F.floor(F.least(F.length(span), F.lit(80)) / 4).cast("string"), F.floor(F.least(10 * digits / F.length(span), F.lit(10))).cast("string"),
+        word.cast("string"), around.cast("string"), check.cast("string"), F.when(before.rlike(r"[=:]\s*[\"']?$"), "set").when(before.rlike("[A-Za-z0-9/_.#-]$"), "glued").otherwise("free"), F.when(after.rlike("[A-Za-z0-9/_#-]"), "glued").otherwise("free"),
+    )
+
+
 def _classified(found: DataFrame) -> DataFrame:
-    """Loose candidates with the score of the span classifier."""
-    votes = F.array(*_votes(F.col("kind"), F.col("span"), F.col("before"), F.col("after")))
+    """Loose candidates with the log odds of the span classifier."""
+    args = F.col("kind"), F.col("span"), F.col("before"), F.col("after")
     mixed = "kind <> 'secret' or span rlike '[0-9]' and span rlike '[A-Za-z]'"
-    rows = saved(found.where("not base").where(mixed).withColumn("votes", votes))
+    rows = saved(found.where("not base").where(mixed).select("rid", "kind", "start", "end", F.array(*_votes(*args)).alias("votes"), _marks(*args).alias("marks")))
     soft = saved(reliabilities(rows.groupBy("votes").agg(F.count("*").alias("n"))))  # 3 ** LABELERS rows at most
-    shape = F.concat(F.when(F.col("span").rlike("[a-z]"), "a").otherwise(""), F.when(F.col("span").rlike("[A-Z]"), "A").otherwise(""), F.when(F.col("span").rlike("[0-9]"), "0").otherwise(""))
-    marks = F.array(
-        F.concat(F.lit("kind:"), "kind"), F.concat(F.lit("shape:"), "kind", shape), F.concat(F.lit("size:"), "kind", F.floor(F.least(F.col("end") - F.col("start"), F.lit(80)) / 8)),
-        F.concat(F.lit("next:"), F.when(F.col("after").rlike("[A-Za-z0-9]"), "w").when(F.col("after").rlike(r"\s"), "s").otherwise("p")), F.concat(F.lit("votes:"), F.concat_ws("", F.col("votes").cast("array<string>"))),
-    )
-    rows = rows.join(F.broadcast(soft), "votes").withColumn("marks", marks).withColumn("cid", F.struct("rid", "kind", "start"))
-    each = rows.select("cid", "q", F.explode("marks").alias("mark"))
-    # a row for each value of five features, a few hundred in all
-    weights = saved(each.groupBy("mark").agg((F.log((F.sum("q") + 0.5) / (F.sum(1 - F.col("q")) + 0.5))).alias("weight")))
-    score = each.join(F.broadcast(weights), "mark").groupBy("cid").agg(F.sum("weight").alias("score"))
-    return rows.join(score, "cid").select("rid", "kind", "start", "end", "q", "score")
+    rows = rows.join(F.broadcast(soft), "votes").select("rid", "kind", "start", "end", "q", "marks")
+    each = rows.select("rid", "kind", "start", "end", "q", F.posexplode("marks").alias("feature", "mark"))
+    # a row for each value of eight features of four kinds, a few hundred in all
+    seen = saved(each.groupBy("kind", "feature", "mark").agg(F.sum("q").alias("yes"), F.sum(1 - F.col("q")).alias("no")))
+    whole = Window.partitionBy("kind", "feature")
+    share = lambda k: F.log((F.col(k) + SMOOTH) / (F.sum(k).over(whole) + SMOOTH * F.count("*").over(whole)))
+    # the prior odds of a kind stand with its first feature, so they count once
+    prior = F.when(F.col("feature") == 0, F.log((F.sum("yes").over(whole) + SMOOTH) / (F.sum("no").over(whole) + SMOOTH))).otherwise(0.0)
+    weights = saved(seen.select("kind", "feature", "mark", F.round(share("yes") - share("no") + prior, 6).alias("weight")))
+    scored = each.join(small(weights), ["kind", "feature", "mark"])
+    return scored.groupBy("rid", "kind", "start", "end").agg(F.sum("weight").alias("score"))
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, counts of base spans by kind, digest of the base spans, all spans."""
+    """Per document: doc_id, counts of base spans by kind, digest of the base spans, all spans, counts of added and all spans."""
     rows, found = spans(docs)
     found = saved(found)
     base = found.where("base").select("rid", "kind", "start", "end", F.lit(True).alias("base"))
-    added = _classified(found).where("score > 0 and q >= 0.5").select("rid", "kind", "start", "end", F.lit(False).alias("base"))
+    added = _classified(found).where("score > 0").select("rid", "kind", "start", "end", F.lit(False).alias("base"))
     both = base.unionAll(added)
     order = Window.partitionBy("rid").orderBy("start", F.desc("base"), F.desc("end"), "kind")
     earlier = F.max(F.when(F.col("base"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -215,6 +237,7 @@ def find(docs: DataFrame) -> DataFrame:
     name = F.concat_ws(":", "kind", "start", "end")
     listed = both.groupBy("rid").agg(
         *[F.sum((F.col("base") & (F.col("kind") == k)).cast("long")).alias(f"n_{k}") for k in BASE],
+        F.sum((~F.col("base")).cast("long")).alias("n_added"),
         F.sort_array(F.collect_list(F.struct("start", place.alias("place"), "base", name.alias("name")))).alias("all"),
     )
     out = rows.join(listed, "rid", "left")
@@ -222,6 +245,7 @@ def find(docs: DataFrame) -> DataFrame:
     return out.select(
         "doc_id", *[F.coalesce(F.col(f"n_{k}"), F.lit(0).cast("long")).alias(f"n_{k}") for k in BASE],
         F.sha2(text(F.filter("all", lambda x: x["base"])).cast("binary"), 256).alias("base_sha256"), text(F.col("all")).alias("spans"),
+        F.coalesce("n_added", F.lit(0).cast("long")).alias("n_added"), F.coalesce(F.size("all"), F.lit(0)).cast("long").alias("n_spans"),
     )
 
 
