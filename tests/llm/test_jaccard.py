@@ -51,8 +51,9 @@ def corpus():
     return odd_rows() + [(100 + k, t, "en", "s") for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("max_group", [1, 8])
-def test_against_all_pairs(spark, max_group):
+@pytest.mark.parametrize(("max_group", "members"), [(1, 6), (8, 2048)])
+def test_against_all_pairs(spark, monkeypatch, max_group, members):
+    monkeypatch.setattr(jaccard_join, "MEMBERS", members)
     rows = corpus()
     got = jaccard_join.near_duplicates(documents(spark, rows).repartition(3), max_group=max_group)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
@@ -105,3 +106,28 @@ def test_overlaps(monkeypatch):
     for _ in range(50):
         x, y = ([np.unique(np.array([draw.randrange(60) for _ in range(draw.randint(1, 40))], dtype=np.uint64)) for _ in range(draw.randint(1, 6))] for _ in range(2))
         assert jaccard_join._overlaps(x, y).tolist() == [[len(np.intersect1d(s, t)) for t in y] for s in x]
+
+
+def test_names_of_sets_depend_on_the_salt():
+    import numpy as np
+
+    h, doc, n = np.array([5, 9, 5, 9, 7], dtype=np.uint64), np.array([0, 0, 1, 1, 3]), np.array([2, 2, 0, 1])
+    names = [jaccard_join._class_ids(h, doc, n, salt) for salt in range(3)]
+    for sig, check in names:
+        assert sig[0] == sig[1] != sig[3] and check[0] == check[1] != check[3] and sig[2] == check[2] == 0
+    assert len({int(x[0]) for pair in names for x in pair}) == 6
+
+
+def test_sets_that_share_a_name_are_named_anew(spark, monkeypatch):
+    tried = []
+    real = jaccard_join._documents
+
+    def clash(found):
+        tried.append(1)
+        out = real(found)
+        return out.withColumn("sig", jaccard_join.F.when(out.n_shingles > 0, 1).otherwise(0).cast("long")) if len(tried) < 3 else out
+
+    monkeypatch.setattr(jaccard_join, "_documents", clash)
+    rows = odd_rows()
+    assert sorted((tuple(r) for r in jaccard_join.near_duplicates(documents(spark, rows)).collect()), key=str) == brute(rows)
+    assert len(tried) == 3

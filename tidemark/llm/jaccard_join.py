@@ -11,7 +11,8 @@ pairs nobody.  A similar pair can then be lost only if each of its sets has 1 +
 keys; such sets are called hard, and only hard sets are compared through hot
 keys: first each with a hub of about its size, then, once the components of all verified links are
 known, with the sets of other components that odd sketches do not rule out (the
-differing bits of two sketches are a lower bound of differing shingles).  Sets too
+differing bits of two sketches are a lower bound of differing shingles; a hot key of many members is
+dealt out in pairs of blocks of them).  Sets too
 crowded for the guarantee, and small ones, use single shingles as segments.  Hot keys
 are recognised within each task already, which forwards one entry of them, and all
 pairs that are left are verified exactly.
@@ -20,6 +21,8 @@ That gives the exact components, but not every link in them.  Links join members
 component only, so they are counted by comparing all sets of a component exactly, in pairs
 of bounded blocks that meet in one task.
 
+Sets are named by 64 bits, checked by 64 more: where different sets share a name, all are named anew.
+
 Results for odd input: null, empty and blank texts have 0 shingles and are their own
 component; texts of fewer than five words are one shingle; rows with a null doc_id
 get a null component and take no part; equal doc_ids share a component only if
@@ -32,7 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import _text
@@ -57,11 +60,16 @@ KEYS_AT_ONCE, SHORT_BAND = 50_000, 8
 #: Sets of a component, and shingles of them, that a block is meant to hold; shingles whose overlaps are counted at once.
 BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 256, 500_000, 4096
 
+#: Members of a hot key that are compared by one task; larger groups are dealt out in pairs of blocks.
+MEMBERS = 2048
+#: Times that classes are named anew where two different sets share a 64-bit name.
+SALTS = 8
+
 ENTRY = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<i4"), ("need", "<u2"), ("way", "u1"), ("hot", "u1")])
 NEVER = 65535
 _SETS = np.dtype([(k, ENTRY[k]) for k in ("sig", "n", "need", "way", "hot")])
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
-LIGHT = np.dtype([("doc_id", "<i8"), ("n", "<i8"), ("sig", "<i8"), ("known", "u1"), ("row", "<i8")])
+LIGHT = np.dtype([("doc_id", "<i8"), ("n", "<i8"), ("sig", "<i8"), ("check", "<i8"), ("known", "u1"), ("row", "<i8")])
 
 
 def shingle_sets(texts: list[bytes]):
@@ -82,14 +90,18 @@ def shingle_sets(texts: list[bytes]):
         yield np.asarray(chunk.rows), np.bincount(doc, minlength=len(chunk.rows)), h, doc
 
 
-def _class_ids(h: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """One 64-bit name for each distinct set; 0 for the empty set."""
-    out = np.zeros(len(n), dtype=np.uint64)
+def _class_ids(h: np.ndarray, doc: np.ndarray, n: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit names for each distinct set; 0 for the empty set."""
+    out = []
     full = np.flatnonzero(n)
-    if len(full):
-        sums = np.add.reduceat(_text.mix(h ^ np.uint64(0x5851F42D4C957F2D)), np.searchsorted(doc, full))
-        out[full] = _text.mix(sums + n[full].astype(np.uint64))
-    return out.view(np.int64)
+    for key in (2 * salt, 2 * salt + 1):
+        name = np.zeros(len(n), dtype=np.uint64)
+        if len(full):
+            seed = _text.mix(np.array([0x5851F42D4C957F2D + key], dtype=np.uint64))[0]
+            sums = np.add.reduceat(_text.mix(h ^ seed), np.searchsorted(doc, full))
+            name[full] = _text.mix(sums + n[full].astype(np.uint64))
+        out.append(name.view(np.int64))
+    return tuple(out)
 
 
 def _prefix(first: np.ndarray, doc: np.ndarray, limit: np.ndarray) -> np.ndarray:
@@ -242,10 +254,12 @@ def _expand(blob: bytes, part: int) -> np.ndarray:
 
 _BLOBS = "bucket int, kind int, blob binary"
 _KEYS, _STARS, _HOT, _LIGHT = 0, 1, 2, 3
+#: Pairs of blocks of members, by way.
+_UNIT = 1000
 PARTS = 4
 
 
-def _candidates(docs: DataFrame, n_parts: int, max_group: int) -> DataFrame:
+def _candidates(docs: DataFrame, n_parts: int, max_group: int, salt: int) -> DataFrame:
     """Saved rows (bucket, kind, blob): pairs to verify, the entries of hot keys, and every document's class."""
 
     def emit(batches):
@@ -270,8 +284,8 @@ def _candidates(docs: DataFrame, n_parts: int, max_group: int) -> DataFrame:
             if "row" in batch.schema.names:
                 light["row"] = batch.column("row").to_numpy()
             for rows, n, h, doc in shingle_sets(_text.utf8(batch.column("text"))):
-                sig = _class_ids(h, doc, n)
-                light["n"][rows], light["sig"][rows] = n, sig
+                sig, check = _class_ids(h, doc, n, salt)
+                light["n"][rows], light["sig"][rows], light["check"][rows] = n, sig, check
                 known = light["known"][rows] > 0
                 waiting.append(_keys(h, doc, n, sig, known))
                 if sum(map(len, waiting)) >= FLUSH:
@@ -298,15 +312,15 @@ def _candidates(docs: DataFrame, n_parts: int, max_group: int) -> DataFrame:
 
 
 def _documents(found: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, sig, row) of every document."""
+    """(doc_id, n_shingles, sig, check, row) of every document."""
 
     def rows(batches):
         for batch in _text.sliced(batches):
             for blob in batch.column(0).to_pylist():
                 x = np.frombuffer(blob, dtype=LIGHT)
-                yield pa.RecordBatch.from_arrays([pa.array(x["doc_id"].copy(), mask=x["known"] == 0), pa.array(x["n"].copy()), pa.array(x["sig"].copy()), pa.array(x["row"].copy())], ["doc_id", "n_shingles", "sig", "row"])
+                yield pa.RecordBatch.from_arrays([pa.array(x["doc_id"].copy(), mask=x["known"] == 0), pa.array(x["n"].copy()), *(pa.array(x[k].copy()) for k in ("sig", "check", "row"))], ["doc_id", "n_shingles", "sig", "check", "row"])
 
-    return found.where(F.col("kind") == _LIGHT).select("blob").mapInArrow(rows, "doc_id long, n_shingles long, sig long, row long")
+    return found.where(F.col("kind") == _LIGHT).select("blob").mapInArrow(rows, "doc_id long, n_shingles long, sig long, check long, row long")
 
 
 def _dealt_pairs(p: np.ndarray, n_parts: int) -> pa.RecordBatch:
@@ -334,7 +348,7 @@ def _sets_of(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _class_texts(docs: DataFrame, classes: DataFrame, sigs: DataFrame) -> DataFrame:
+def _class_texts(docs: DataFrame, classes: DataFrame, sigs: DataFrame, salt: int) -> DataFrame:
     """(sig, n, odd, packed): size, odd sketch and compressed text of each class, from its first document."""
     need = saved(classes.join(sigs, "sig", "left_semi").select("sig", F.col("least").alias("doc_id")))
 
@@ -345,7 +359,7 @@ def _class_texts(docs: DataFrame, classes: DataFrame, sigs: DataFrame) -> DataFr
             sig, size = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
             odd = [b""] * len(texts)
             for rows, n, h, doc in shingle_sets(texts):
-                sig[rows], size[rows] = _class_ids(h, doc, n), n
+                sig[rows], size[rows] = _class_ids(h, doc, n, salt)[0], n
                 for row, own in zip(rows.tolist(), np.split(h, np.cumsum(n)[:-1]), strict=True):
                     odd[row] = _parity([own], len(own).bit_length() - 1).tobytes() if len(own) else b""
             right = pa.array(sig == batch.column("sig").to_numpy())  # others have the same doc_id
@@ -473,12 +487,45 @@ def _stars(hard: DataFrame, n_parts: int) -> DataFrame:
     return hard.mapInArrow(by_key, _BLOBS).repartition(n_parts, "bucket").mapInArrow(star, _BLOBS)
 
 
+def _met(g: np.ndarray, own: int, spanning: bool) -> list[np.ndarray]:
+    """Pairs of the members of a hot key that sizes and odd sketches do not rule out, of different components.
+
+    own: how many of them are of a first block that is only compared with the rest; 0: all with all.
+    """
+    if own:
+        order = np.argsort(g["n"], kind="stable")
+        g, first = g[order], (order < own)
+    n, comp, odd, sig = (np.ascontiguousarray(g[k]) for k in ("n", "component", "odd", "sig"))
+    ends = np.searchsorted(n, n * 100 // 75, "right")
+    label = np.unique(comp, return_inverse=True)[1]
+    found = []
+    for i in range(len(g) - 1):
+        j = np.arange(i + 1, ends[i])
+        j = j[label[j] != label[i]]
+        if own:
+            j = j[first[j] != first[i]]
+        differ = np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1)
+        near = differ <= (n[i] + n[j]) // 7
+        j = j[near]
+        if not len(j):
+            continue
+        if spanning:
+            order = np.lexsort((sig[j], differ[near], label[j]))
+            names, at = np.unique(label[j[order]], return_index=True)
+            j = j[order[at]]
+            label[np.isin(label, names)] = label[i]
+        found.append(_pairs(np.full(len(j), sig[i]), sig[j]))
+    return found
+
+
 def _second_look(hard: DataFrame, comps: DataFrame, texts: DataFrame, n_parts: int, spanning: bool) -> DataFrame:
     """Pairs of hard sets of one hot key in different components that odd sketches do not rule out.
 
     spanning: not all of them, but enough to join, if they all hold, whatever all would join.
     """
 
+    members = MEMBERS
+
     def member(band: int) -> np.dtype:
         return np.dtype([("key", "<u8"), ("sig", "<i8"), ("component", "<i8"), ("n", "<i4"), ("odd", "<u8", (_bits(min(band, SHORT_BAND)) // 64,))])
 
@@ -515,29 +562,34 @@ def _second_look(hard: DataFrame, comps: DataFrame, texts: DataFrame, n_parts: i
                 g = e[a:b]
                 if (g["component"] == g["component"][0]).all():
                     continue
-                n, comp, odd, sig = (np.ascontiguousarray(g[k]) for k in ("n", "component", "odd", "sig"))
-                ends = np.searchsorted(n, n * 100 // 75, "right")
-                label = np.unique(comp, return_inverse=True)[1]
-                for i in range(len(g) - 1):
-                    j = np.arange(i + 1, ends[i])
-                    j = j[label[j] != label[i]]
-                    differ = np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1)
-                    near = differ <= (n[i] + n[j]) // 7
-                    j = j[near]
-                    if not len(j):
-                        continue
-                    if spanning:
-                        order = np.lexsort((sig[j], differ[near], label[j]))
-                        own, first = np.unique(label[j[order]], return_index=True)
-                        j = j[order[first]]
-                        label[np.isin(label, own)] = label[i]
-                    found.append(_pairs(np.full(len(j), sig[i]), sig[j]))
+                if len(g) <= members:
+                    found += _met(g, 0, spanning)
+                    continue
+                # blocks in the order of size, so that only those of about one size meet
+                for i in range(0, len(g), members):
+                    most = g["n"][min(i + members, len(g)) - 1] * 100 // 75
+                    for j in range(i, len(g), members):
+                        if g["n"][j] > most:
+                            break
+                        part = g[i : i + members] if i == j else np.concatenate((g[i : i + members], g[j : j + members]))
+                        bucket = int(_text.mix(g["key"][:1] + np.uint64(i * len(g) + j))[0] % np.uint64(n_parts))
+                        own = 0 if i == j else members
+                        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([_UNIT + way], pa.int32()), pa.array([own.to_bytes(4, "little") + part.tobytes()])], ["bucket", "kind", "blob"])
             if found:
                 yield _dealt_pairs(_once(np.concatenate(found)), n_parts)
 
+    def units(batches):
+        for batch in batches:
+            for way, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                found = _met(np.frombuffer(blob, dtype=member((way - _UNIT) // 2), offset=4), int.from_bytes(blob[:4], "little"), spanning)
+                if found:
+                    yield _dealt_pairs(_once(np.concatenate(found)), n_parts)
+
     rows = hard.join(comps.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     rows = rows.join(texts.select("sig", "packed"), "sig").select("sig", "n", "way", "keys", "component", "packed")
-    return _distinct_pairs(rows.mapInArrow(by_key, _BLOBS).repartition(n_parts, "bucket").mapInArrow(across, _BLOBS), n_parts)
+    dealt = saved(rows.mapInArrow(by_key, _BLOBS).repartition(n_parts, "bucket").mapInArrow(across, _BLOBS))
+    split = dealt.where(F.col("kind") >= _UNIT).repartition(n_parts, "bucket").mapInArrow(units, _BLOBS)
+    return _distinct_pairs(dealt.where(F.col("kind") < _UNIT).unionAll(split), n_parts)
 
 
 def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -624,14 +676,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, max_group: int = MAX_GRO
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n_parts = partitions(docs, 2.0)
 
-    found = _candidates(docs.withColumn("row", row_key(docs)) if keys else docs, n_parts, max_group)
-    light = _documents(found)
-    classes = saved(light.where("doc_id is not null and n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    for salt in range(SALTS):
+        found = _candidates(docs.withColumn("row", row_key(docs)) if keys else docs, n_parts, max_group, salt)
+        light = _documents(found)
+        classes, clash = light.where("doc_id is not null and n_shingles > 0").groupBy("sig"), Observation()
+        classes = classes.agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("check").alias("check"), F.max("check").alias("other"))
+        classes = saved(classes.observe(clash, F.count_if(F.col("check") != F.col("other")).alias("n")).select("sig", "least", "copies"))
+        if not clash.get["n"]:
+            break
+    else:
+        raise RuntimeError(f"different sets share a name under each of {SALTS} salts")
     hard = _hard_sets(found.where(F.col("kind") == _HOT), n_parts)
     blobs = found.where(F.col("kind") == _STARS).unionAll(_stars(hard, n_parts))
     pairs = saved(_distinct_pairs(blobs, n_parts))
     ends = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).unionAll(hard.select("sig"))
-    texts = _class_texts(docs, classes, ends.distinct())
+    texts = _class_texts(docs, classes, ends.distinct(), salt)
     edges = _verified(_plausible(pairs, texts), texts, percent)
     comps = components(edges)
     for spanning in (True,) * SPANNING_ROUNDS + (False,) if hard.limit(1).count() else ():
