@@ -49,3 +49,24 @@ def test_windows_that_share_64_bits_stay_apart():
     assert kinds.tolist() == [(5, 1), (5, 2), (7, 1)] and least.tolist() == [0, 1, 3] and most.tolist() == [2, 4, 3]
     known = np.array([(5, 1), (5, 2)], dtype=substring_dedup.WINDOW)
     assert substring_dedup._known(known, np.array([3, 1]), w, np.array([2, 2, 4, 9, 1])).tolist() == [False, True, True, False, False]
+
+
+def test_packed_runs_come_back():
+    draw = np.random.default_rng(4)
+    for parts in (1, 3, 50):
+        size = draw.integers(1, 6, 40)
+        runs = np.zeros(40, dtype=substring_dedup.HEAD)
+        runs["m"], runs["doc"], runs["size"] = draw.integers(-9, 9, 40), np.arange(40), size
+        w = np.zeros(int(size.sum()), dtype=substring_dedup.WINDOW)
+        w["h"], w["x"] = np.arange(len(w)), 7
+        bounds = np.concatenate(([0], np.cumsum(size)))
+        batch = substring_dedup._packed(runs, w, bounds, parts)
+        got = {}
+        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            heads, windows = substring_dedup._unpacked(blob)
+            at = 0
+            for r in heads:
+                assert int(np.int64(r["m"]).astype(np.uint64)) % parts == bucket
+                got[int(r["doc"])] = windows["h"][at : at + int(r["size"])].tolist()
+                at += int(r["size"])
+        assert got == {k: list(range(bounds[k], bounds[k + 1])) for k in range(40)}

@@ -43,7 +43,10 @@ HOT_RUNS = 1000
 
 #: Hash of a window: two residues mixed, and the third one.
 WINDOW = np.dtype([("h", "<u8"), ("x", "<u4")])
-_RUNS = "m long, doc_id long, crc int, pos int, hashes binary"
+#: Buckets of minimisers for each partition, so that partitions are about even.
+BUCKETS = 4
+#: What goes before a run's windows: minimiser, document, CRC, first word, number of windows.
+HEAD = np.dtype([("m", "<i8"), ("doc", "<i8"), ("crc", "<i4"), ("pos", "<i4"), ("size", "<u4")])
 
 
 def _minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -96,6 +99,33 @@ def _ordered(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate((np.ones(min(1, len(w)), dtype=bool), near | differ)))
 
 
+def _packed(runs: np.ndarray, w: np.ndarray, bounds: np.ndarray, n_parts: int) -> pa.RecordBatch:
+    """One row for each bucket of minimisers: how many runs, their heads, and their windows, in 32-bit words."""
+    bucket = np.ascontiguousarray(runs["m"]).view(np.uint64) % np.uint64(n_parts)
+    order = np.argsort(bucket, kind="stable")
+    runs, bucket, size = runs[order], bucket[order].astype(np.int32), np.diff(bounds)[order]
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    n = np.diff(np.append(first, len(runs)))
+    head, each = HEAD.itemsize // 4, WINDOW.itemsize // 4
+    words = 1 + head * n + each * np.add.reduceat(size, first)
+    start = np.cumsum(words) - words
+    out = np.empty(int(words.sum()), dtype=np.uint32)
+    out[start] = n
+    at = np.repeat(start + 1, n) + head * (np.arange(len(runs)) - np.repeat(first, n))
+    out[at[:, None] + np.arange(head)] = np.ascontiguousarray(runs).view(np.uint32).reshape(-1, head)
+    begin = np.cumsum(size) - size
+    to = np.repeat(np.repeat(start + 1 + head * n - each * begin[first], n), size) + each * np.arange(int(size.sum()))
+    source = np.arange(int(size.sum())) + np.repeat(bounds[:-1][order] - begin, size)
+    out[to[:, None] + np.arange(each)] = np.ascontiguousarray(w[source]).view(np.uint32).reshape(-1, each)
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), _text.binary(out, np.append(start, len(out)))], ["bucket", "runs"])
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Heads and windows of a packed row."""
+    n = int.from_bytes(blob[:4], "little")
+    return np.frombuffer(blob, dtype=HEAD, count=n, offset=4), np.frombuffer(blob, dtype=WINDOW, offset=4 + n * HEAD.itemsize)
+
+
 def _repeats(w: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which windows also occur with a smaller document."""
     order, first = _ordered(w)
@@ -143,27 +173,32 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, hot_runs: int = HOT_
 
     def runs(batches):
         for batch in _text.sliced(batches):
+            heads, windows = [], []
             for hashes, bounds, m, doc, crc, pos in _parts(batch, width):
+                size = np.diff(bounds)
                 keep = ~is_hot(m)
-                column = _text.binary(hashes, bounds)
-                out = pa.RecordBatch.from_arrays([pa.array(m), pa.array(doc), pa.array(crc), pa.array(pos), column], ["m", "doc_id", "crc", "pos", "hashes"])
-                yield out if keep.all() else out.filter(pa.array(keep))
+                own = np.empty(int(keep.sum()), dtype=HEAD)
+                for name, values in (("m", m), ("doc", doc), ("crc", crc), ("pos", pos), ("size", size)):
+                    own[name] = values[keep]
+                heads.append(own)
+                windows.append(hashes[np.repeat(keep, size)])
+            if sum(map(len, heads)):
+                own = np.concatenate(heads)
+                yield _packed(own, np.concatenate(windows), np.concatenate(([0], np.cumsum(own["size"].astype(np.int64)))), BUCKETS * n_parts)
 
     def resolved(batches):
-        m, doc, crc, pos, sizes, blobs = [], [], [], [], [], []
+        heads, windows = [], []
         for batch in _text.sliced(batches):
-            m.append(batch.column(0).to_numpy())
-            doc.append(batch.column(1).to_numpy())
-            crc.append(batch.column(2).to_numpy())
-            pos.append(batch.column(3).to_numpy())
-            values = batch.column(4).to_pylist()
-            sizes.append(np.array([len(v) // WINDOW.itemsize for v in values], dtype=np.int64))
-            blobs.append(np.frombuffer(b"".join(values), dtype=WINDOW))
-        if not m:
+            for blob in batch.column("runs"):
+                own, w = _unpacked(blob.as_py())
+                heads.append(own)
+                windows.append(w)
+        if not heads:
             return
-        m, doc, crc, pos, sizes = (np.concatenate(x) for x in (m, doc, crc, pos, sizes))
-        hashes = np.concatenate(blobs)
-        del blobs
+        own, hashes = np.concatenate(heads), np.concatenate(windows)
+        del heads, windows
+        m, doc, crc, pos, sizes = (np.ascontiguousarray(own[k]) for k in HEAD.names)
+        sizes = sizes.astype(np.int64)
         # a minimiser that only one document has can hold no repeated window
         order = np.argsort(m, kind="stable")
         first = np.flatnonzero(np.concatenate(([True], m[order][1:] != m[order][:-1])))
@@ -181,7 +216,7 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, hot_runs: int = HOT_
         which, start, end = _merged(_repeats(hashes, doc[run]), run, word, width)
         yield pa.RecordBatch.from_arrays([pa.array(doc[which]), pa.array(crc[which]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "crc", "start", "end"])
 
-    found = docs.mapInArrow(runs, _RUNS).repartition(n_parts, "m").mapInArrow(resolved, "doc_id long, crc int, start int, end int")
+    found = docs.mapInArrow(runs, "bucket int, runs binary").repartition(n_parts, "bucket").mapInArrow(resolved, "doc_id long, crc int, start int, end int")
     return found.unionAll(_hot_intervals(docs, is_hot, width, n_parts)) if len(hot) else found
 
 
