@@ -14,7 +14,11 @@ from tidemark.llm._spark import BROADCAST_ROWS, saved, small, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the likelihood ratio."""
+    """Documents that pass the base rule and the likelihood ratio.
+
+    Null, empty and short texts fail the base rule; rows that repeat are judged alike; without labels of
+    both kinds the base rule alone decides; an empty table stays empty.
+    """
     return quality_rules.keep_good(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -39,17 +43,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage.
+
+    Null and empty texts and items match nothing; rows that repeat go or stay together, with or without an
+    id; an empty table of either kind drops nothing.
+    """
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents chosen by the raked probabilities of their cells."""
+    """Documents chosen by the raked probabilities of their cells.
+
+    Null sources and languages are classes of their own; null and blank texts count no tokens; rows of one
+    doc_id, or without any, are chosen alike within a cell; an empty table stays empty.
+    """
     return mixture.choose(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every document."""
+    """The shard and slot of every document.
+
+    A null text has size 8; rows that repeat, or have no id, take slots of their own; an empty table gives
+    no rows.
+    """
     return shards.assign(docs)
 
 

@@ -34,7 +34,8 @@ def sequential(keys, n, vnodes):
 
 
 @pytest.mark.parametrize(("n", "vnodes", "bin_rows"), [(24, 64, 20_000), (5, 3, 1), (3, 40, 2)])
-def test_against_one_by_one(spark, n, vnodes, bin_rows):
+def test_against_one_by_one(spark, monkeypatch, n, vnodes, bin_rows):
+    monkeypatch.setattr(shards, "HOT_BINS", 1000)
     rows = [(k, prose(k, 3), "en", "s") for k in range(500)]
     got = shards.assign(documents(spark, rows).repartition(3), n, vnodes, bin_rows).collect()
     pos = documents(spark, rows).selectExpr("xxhash64(doc_id, crc32(CAST(text AS BINARY))) AS pos", "doc_id").collect()
@@ -60,3 +61,12 @@ def test_few_documents_move(spark):
     rows = [(k, prose(k, 2), "en", "s") for k in range(2000)]
     a, b = ({r.doc_id: r.shard for r in shards.assign(documents(spark, rows), n).collect()} for n in (10, 11))
     assert sum(a[k] != b[k] for k in a) < 2000 * 0.45
+
+
+def test_rows_that_repeat_are_spread(spark):
+    rows = [(1, "same", "en", "s")] * 300 + [(None, None, "en", "s")] * 200 + [(k, prose(k, 2), "en", "s") for k in range(2, 100)]
+    got = shards.assign(documents(spark, rows).repartition(3), bin_rows=5).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    loads = Counter(r.shard for r in got)
+    assert len(loads) == 24 and max(loads.values()) - min(loads.values()) <= 1
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in sorted(loads) for k in range(loads[s])]

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +19,14 @@ PARTITION_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); set only where none is."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Only a session of one machine may go without; there it is a folder below the warehouse.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="tidemark-")
+        folder = known.get() if known.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/tidemark-checkpoints"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -73,9 +74,5 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES
     return F.broadcast(df) if n <= rows and (size or 0) <= most else df
 
 
-def both(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,8 +8,8 @@ alignment (match 2, mismatch and gap -1) of stretch and item gives the score, as
 a share of the best possible one.  A copy of which no ``SEED_WORDS`` words in a row are
 left is not found.
 
-The benchmark is handled in blocks of at most ``block_items`` items, the only thing
-sent to all tasks; documents are never shuffled.
+The benchmark is handled in blocks of at most about ``block_items`` items and ``BLOCK_BYTES`` of
+text, the only thing sent to all tasks; documents are never shuffled.
 
 Results for odd input: null or empty texts and items match nothing; items shorter
 than a seed are compared as one seed; repeated documents are reported each, repeated
@@ -32,7 +32,7 @@ from tidemark.llm._spark import table
 SEED_WORDS = 3
 MIN_SCORE = 0.4
 #: Benchmark items that are sent to all tasks at once.
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 _SIEVE_BITS = 22
@@ -148,7 +148,8 @@ def _leaks(texts: list[bytes], items: Items, min_score: float) -> list[tuple[int
 def _blocks(benchmark: DataFrame, block_items: int):
     """Blocks of the benchmark."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null")
-    n = -(-items.count() // (block_items // 2 + 1))
+    count, size = items.agg(F.count("*"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()
+    n = max(-(-count // (block_items // 2 + 1)), -(-(size or 0) // (BLOCK_BYTES // 2)))
     for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").collect()
         block = Items([r.item_id for r in rows], [r.text for r in rows])

@@ -5,16 +5,17 @@ are raked: scaled in turn so that the token sums of every source, language and
 topic meet their targets, and never above what a cell holds.  A document is chosen
 with its cell's probability (raked weight over tokens), by a hash of its id.
 
-Targets of a dimension are either shares by name (classes not named keep their
-size) or an exponent that flattens the sizes found (1 keeps them, 0 makes them
-equal).  Only cells are raked; they are as many as combinations of classes, and
-stay distributed.
+Targets of a dimension are either shares by name (a class not named enters with its present
+share, and all shares are then scaled to sum to one) or an exponent that flattens the sizes
+found (1 keeps them, 0 makes them equal).  Only cells are raked; they are as many as
+combinations of classes.  Counted cells of up to ``FEW_CELLS`` are raked in one partition, without
+any exchange, more stay distributed by class.
 
 The topic of a document is its column ``topic`` if it has one, else a class of
 its form (table, markup, shout) or length (short, medium, long).
 
-Results for odd input: null or blank texts have 0 tokens and are chosen with
-probability ``budget``; null classes are the class ""; repeated documents are chosen
+Results for odd input: null or blank texts have 0 tokens and the probability of their cell, or
+``budget`` where all of the cell is blank; null classes are the class ""; repeated documents are chosen
 alike; an empty table gives an empty result; extra columns are kept by ``choose`` and ignored by
 ``probabilities``.
 """
@@ -31,6 +32,8 @@ from tidemark.llm._spark import saved, small, table
 #: Share of all tokens to keep.
 BUDGET = 0.6
 ROUNDS = 10
+#: Cells (narrow rows) that one task rakes.
+FEW_CELLS = 100_000
 TARGETS: dict[str, float | dict[str, float]] = {"source": 0.5, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": 0.8}
 SEED = 7
 WORD = r"[^\x20\x09-\x0D]+"
@@ -70,6 +73,8 @@ def rake(rows: DataFrame, budget: float = BUDGET, targets: Mapping = TARGETS, ro
     keys = ["mix_source", "mix_lang", "mix_topic"]
     cells = rows.groupBy(*keys).agg(F.sum("mix_tokens").alias("tokens")).where("tokens > 0")
     cells = saved(cells)
+    few = cells.limit(FEW_CELLS + 1).count() <= FEW_CELLS
+    cells = cells.coalesce(1) if few else cells
     everything = Window.partitionBy(F.lit(0))
     for key in keys:
         goal = targets[key.removeprefix("mix_")]
@@ -82,10 +87,11 @@ def rake(rows: DataFrame, budget: float = BUDGET, targets: Mapping = TARGETS, ro
         share = sizes.withColumn("share", named).withColumn("share", F.col("share") / F.sum("share").over(everything))
         share = share.withColumn(f"to_{key}", F.col("share") * F.lit(float(budget)) * F.sum("size").over(everything))
         cells = cells.join(share.select(key, f"to_{key}"), key)
-    cells = saved(cells.withColumn("w", F.col("tokens") * F.lit(float(budget))))
+    kept = (lambda x: saved(x).coalesce(1)) if few else saved
+    cells = kept(cells.withColumn("w", F.col("tokens") * F.lit(float(budget))))
     for k in range(rounds):
         if k and k % 5 == 0:
-            cells = saved(cells)  # keeps the plan shallow
+            cells = kept(cells)  # keeps the plan shallow
         for key in keys:
             cells = cells.withColumn("w", F.col("w") * F.col(f"to_{key}") / F.sum("w").over(Window.partitionBy(key)))
         cells = cells.withColumn("w", F.least("w", F.col("tokens").cast("double")))

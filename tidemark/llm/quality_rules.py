@@ -161,9 +161,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, good_w
         for batch in _text.sliced(batches):
             texts = _text.utf8(batch.column("text"))
             keep = ~_statistics(texts)["base_failed"]
-            yield pa.RecordBatch.from_arrays([pa.array(_scores(texts, log_ratio)[keep]), batch.column("quality").filter(pa.array(keep))], ["score", "quality"])
+            columns = [batch.column("doc_id"), pa.array(_scores(texts, log_ratio)), batch.column("quality")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "quality"]).filter(pa.array(keep))
 
-    known = marked.mapInArrow(judged, "score double, quality int").toArrow()
+    # a row for each labelled doc_id, 2 * max_labels at most, however often it repeats
+    known = marked.mapInArrow(judged, "doc_id long, score double, quality int").groupBy("doc_id").agg(F.min("score").alias("score"), F.min("quality").alias("quality")).toArrow()
     return QualityModel(log_ratio, _threshold(known.column("score").to_numpy(), known.column("quality").to_numpy(), good_weight))
 
 
@@ -212,3 +214,31 @@ def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+_GRAM = " + ".join(f"CAST('0x' || substr(g, {2 * k + 1}, 2) AS BIGINT) * {1 << 8 * k}" for k in range(GRAM_BYTES))
+_PAIRS = " || ".join(f"h[i + {k}]" for k in range(GRAM_BYTES))
+ORACLE = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+tri AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 2], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS times FROM tri) WHERE times > 1) GROUP BY doc_id),
+b AS MATERIALIZED (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d) d LEFT JOIN rep ON rep.doc_id = d.doc_id),
+f AS MATERIALIZED (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b),
+x AS (SELECT doc_id, regexp_extract_all(hex(encode(array_to_string(w, ' '))), '..') AS h FROM d),
+each AS MATERIALIZED (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, {_PAIRS} AS g FROM (SELECT doc_id, h, unnest(range(1, len(h) - {GRAM_BYTES - 2})) AS i FROM x WHERE len(h) >= {GRAM_BYTES})) GROUP BY doc_id, g),
+names AS MATERIALIZED (SELECT g, CAST((({_GRAM}) * {0x9E3779B1}::HUGEINT % {1 << 32}) // {1 << 16} AS BIGINT) AS bucket FROM (SELECT DISTINCT g FROM each)),
+grams AS MATERIALIZED (SELECT doc_id, bucket, CAST(sum(n) AS BIGINT) AS n FROM each JOIN names ON names.g = each.g GROUP BY doc_id, bucket),
+l AS MATERIALIZED (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY doc_id),
+c AS (SELECT bucket, coalesce(raw, 0) AS raw, coalesce(good, 0) AS good FROM (SELECT unnest(range({BUCKETS})) AS bucket) LEFT JOIN (
+  SELECT bucket, sum(n) AS raw, sum(n) FILTER (quality = 1) AS good FROM grams LEFT JOIN l ON l.doc_id = grams.doc_id GROUP BY bucket) USING (bucket)),
+v AS MATERIALIZED (SELECT bucket, CAST(round_even(ln(((good + 0.5::DOUBLE) / (sum(good) OVER () + 0.5::DOUBLE * {BUCKETS})) / ((raw + 0.5::DOUBLE) / (sum(raw) OVER () + 0.5::DOUBLE * {BUCKETS}))) * {_SCALE}, 0) AS BIGINT) AS ratio FROM c),
+m AS MATERIALIZED (SELECT doc_id, CAST(sum(n * ratio) AS DOUBLE) / CAST(sum(n) AS DOUBLE) / {_SCALE} AS score FROM grams JOIN v ON v.bucket = grams.bucket GROUP BY doc_id),
+known AS (SELECT coalesce(score, 0.0::DOUBLE) AS score, quality FROM l JOIN f ON f.doc_id = l.doc_id LEFT JOIN m ON m.doc_id = l.doc_id WHERE NOT base_failed),
+gain AS (SELECT score, sum(sum(CASE quality WHEN 0 THEN 1 ELSE -{GOOD_WEIGHT} END)) OVER (ORDER BY score) AS gain, lead(score) OVER (ORDER BY score) AS next FROM known GROUP BY score),
+cut AS (SELECT CASE WHEN gain > 0 THEN coalesce((score + next) / 2, score) ELSE '-inf'::DOUBLE END AS threshold FROM gain ORDER BY gain DESC, score LIMIT 1)
+SELECT f.*, coalesce(score, 0.0::DOUBLE) AS score, NOT base_failed AND coalesce(score, 0.0::DOUBLE) > coalesce((SELECT threshold FROM cut), '-inf'::DOUBLE) AS kept FROM f LEFT JOIN m ON m.doc_id = f.doc_id
+"""

@@ -8,10 +8,11 @@ floor or the ceiling of the mean, so the law is ``rows``: counts differ by one a
 Only counts per arc of the ring (a number fixed by shards and virtual nodes) reach the
 driver; there the overflow is worked out for stretches of each arc's order, and a
 document finds its stretch by its rank in the arc.  Ranks are counted in bins of the
-arcs whose number follows the input, so no task sorts an arc alone.
+arcs whose number follows the input, and a bin that holds far more than others (rows that repeat
+have one place on the ring) is split by row, so no task sorts an arc or a hot place alone.
 
-Results for odd input: a null text has size 8 and CRC 0; rows with a null doc_id hash
-alike and are spread by their text; repeated rows take places of their own; an empty
+Results for odd input: a null text has size 8 and CRC 0; rows with a null doc_id have
+the place of their text; repeated rows share a place on the ring and take slots of their own; an empty
 table gives an empty result; extra columns are ignored.
 """
 
@@ -23,12 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._spark import saved, table
+from tidemark.llm._spark import saved, small, table
 
 SHARDS = 24
 VNODES = 64
 #: Documents that a bin of an arc is sized for.
 BIN_ROWS = 20_000
+#: A bin with so many times as many is split by row.
+HOT_BINS = 4
 
 
 def ring(shards: int, vnodes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +70,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, bin_rows
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = saved(rows.withColumn("pos", F.xxhash64("doc_id", "text_crc32")))
+    rows = rows.withColumn("pos", F.xxhash64("doc_id", "text_crc32"))
+    rows = saved(rows.withColumn("rid", F.monotonically_increasing_id()))  # fixed once written
     at, owners = ring(shards, vnodes)
     bins = max(1, -(-rows.count() // (bin_rows * len(at))))
 
@@ -84,16 +88,22 @@ def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, bin_rows
             part = np.where(wrapped, part + bins, part).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(arc), pa.array(part)], [*batch.schema.names, "arc", "part"])
 
-    rows = rows.mapInArrow(placed, "doc_id long, size long, text_crc32 long, pos long, arc int, part int")
-    counts = saved(rows.groupBy("arc", "part").agg(F.count("*").alias("n")))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("arc").orderBy("part")) - F.col("n")).drop("n")
+    rows = rows.mapInArrow(placed, "doc_id long, size long, text_crc32 long, pos long, rid long, arc int, part int")
+    loads = saved(rows.groupBy("arc", "part").agg(F.count("*").alias("n")))
+    hot = saved(loads.where(F.col("n") > HOT_BINS * bin_rows).select("arc", "part", F.ceil(F.col("n") / bin_rows).alias("pieces")))
+    if hot.limit(1).count():
+        rows = rows.join(small(hot), ["arc", "part"], "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("rid"), "pieces"), F.lit(0).cast("long"))).drop("pieces")
+        counts = saved(rows.groupBy("arc", "part", "piece").agg(F.count("*").alias("n")))
+    else:
+        rows, counts = (x.withColumn("piece", F.lit(0).cast("long")) for x in (rows, loads))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("arc").orderBy("part", "piece")) - F.col("n")).drop("n")
     per_arc = [0] * len(at)
     for r in counts.groupBy("arc").agg(F.sum("n").alias("n")).collect():  # a row for each arc
         per_arc[r.arc] = r.n
     found = stretches(per_arc, owners.tolist(), shards)
     flow = spark.createDataFrame(pa.table({k: pa.array([x[i] for x in found], t) for i, (k, t) in enumerate((("arc", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("shard", pa.int32()), ("base", pa.int64())))}))
-    order = Window.partitionBy("arc", "part").orderBy("pos", "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rn", F.row_number().over(order) - 1).join(before, ["arc", "part"]).withColumn("rank", F.col("rn") + F.col("before"))
+    order = Window.partitionBy("arc", "part", "piece").orderBy("pos", "doc_id", "text_crc32", "size", "rid")
+    ranked = rows.withColumn("rn", F.row_number().over(order) - 1).join(before, ["arc", "part", "piece"]).withColumn("rank", F.col("rn") + F.col("before"))
     inside = (ranked.arc == flow.arc) & (F.col("rank") >= F.col("a")) & (F.col("rank") < F.col("b"))
     out = ranked.join(F.broadcast(flow), inside)  # a stretch for each arc, and one more for each time that a shard fills
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("base") + F.col("rank") - F.col("a")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -357,3 +357,14 @@ def _kept(docs: DataFrame, width: int, hot_runs: int, digest: bool) -> DataFrame
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(table(spark, sf_dir, "documents"), WIDTH, HOT_RUNS, digest=True)
+
+
+ORACLE = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + {WIDTH - 1}], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WIDTH - 2})) AS i FROM d WHERE len(w) >= {WIDTH})),
+hit AS (SELECT win.doc_id, i FROM win JOIN (SELECT g, min(doc_id) AS least FROM win GROUP BY g) f ON f.g = win.g WHERE win.doc_id > least),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + {WIDTH})) AS p FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id
+"""
