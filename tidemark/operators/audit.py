@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.namespace import met
+
 c = F.col
 
 
@@ -13,7 +15,8 @@ def _counts(rows: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def dangling_entries(entries: DataFrame, inodes: DataFrame) -> DataFrame:
-    return entries.join(inodes.select("inode_id"), "inode_id", "left_anti").select("dir_id", "name", "inode_id")
+    """Entries that a walk from the root meets and that name no inode."""
+    return met(entries).join(inodes.select("inode_id"), "inode_id", "left_anti").select("dir_id", "name", "inode_id")
 
 
 def entry_counts(inodes: DataFrame, entries: DataFrame) -> DataFrame:
@@ -23,19 +26,20 @@ def entry_counts(inodes: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def link_counts(inodes: DataFrame, entries: DataFrame) -> DataFrame:
-    """Files with references whose link count differs from them."""
+    """Files that a walk from the root meets, and whose link count differs from the times it does."""
     files = inodes.where("kind <> 'directory'").select("inode_id", "nlink")
-    return files.join(_counts(entries, "inode_id", "refs"), "inode_id").where("nlink <> refs")
+    return files.join(_counts(met(entries), "inode_id", "refs"), "inode_id").where("nlink <> refs")
 
 
 def unreferenced(inodes: DataFrame, entries: DataFrame, orphans: DataFrame) -> DataFrame:
-    left = inodes.where("inode_id <> 0").join(entries.select("inode_id"), "inode_id", "left_anti")
+    """Inodes that no walk from the root meets, detached trees among them, but for known orphans."""
+    left = inodes.where("inode_id <> 0").join(met(entries).select("inode_id"), "inode_id", "left_anti")
     return left.join(orphans.select("inode_id"), "inode_id", "left_anti").select("inode_id", "kind")
 
 
 def usage(inodes: DataFrame, entries: DataFrame, shards: DataFrame) -> DataFrame:
-    """Stored and computed usage: two rows (metric, stored, computed)."""
-    reached = inodes.where("inode_id <> 0").join(entries.select("inode_id"), "inode_id", "left_semi")
+    """Stored usage and that of what a walk from the root meets: two rows (metric, stored, computed)."""
+    reached = inodes.where("inode_id <> 0").join(met(entries).select("inode_id"), "inode_id", "left_semi")
     computed = reached.agg(F.sum(F.when(c("kind") == "file", c("size")).otherwise(0)).alias("used_bytes"), F.count("*").alias("used_inodes")).selectExpr("stack(2, 'used_bytes', used_bytes, 'used_inodes', used_inodes) AS (metric, computed)")
     stored = shards.agg(F.sum("used_bytes").alias("used_bytes"), F.sum("used_inodes").alias("used_inodes")).selectExpr("stack(2, 'used_bytes', used_bytes, 'used_inodes', used_inodes) AS (metric, stored)")
     return stored.join(computed, "metric")

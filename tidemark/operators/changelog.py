@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import running_max
+
 c = F.col
 
 
 def accepted_epochs(log: DataFrame) -> DataFrame:
     """Ops that are not of an epoch older than one already seen, in sequence order."""
-    seen = Window.partitionBy(F.lit(0)).orderBy("seqno", "op_index")
-    return log.withColumn("top_", F.max("epoch").over(seen)).where("epoch >= top_").drop("top_")
+    return running_max(log, ["seqno", "op_index"], c("epoch")).where("epoch >= top_").drop("top_")
 
 
 def frontier(received: DataFrame, by: list[str], seq: str = "seqno") -> DataFrame:

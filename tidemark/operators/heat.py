@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.sinks import scratch
+from tidemark.sources.sinks import kept
 
 c = F.col
 STALE = 1800
 
 
+SEAM = ["epoch_a", "counter_a", "epoch_b", "counter_b"]
+
+
 def pair_heat(events: DataFrame, stale: int = STALE) -> DataFrame:
-    """(a, b, round, heat, last_seen): rounds in which a pair was seen, counted anew after a long gap.
+    """(segment a, segment b, round, heat, last_seen): rounds in which a pair was seen, counted anew after a long gap.
 
-    A pair counts once for a round; the gap is from the last sight to the next round's first.
+    A segment is its epoch and counter.  A pair has no order and counts once for a round; the gap is
+    from the last sight to the next round's first.
     """
-    low, high = F.least("counter_a", "counter_b").alias("a"), F.greatest("counter_a", "counter_b").alias("b")
-    seen = events.groupBy(low, high, "round").agg(F.min("ts").alias("first"), F.max("ts").alias("last_seen"))
-    w = Window.partitionBy("a", "b").orderBy("round")
+    one, other = F.struct(c("epoch_a").alias("epoch"), c("counter_a").alias("counter")), F.struct(c("epoch_b").alias("epoch"), c("counter_b").alias("counter"))
+    pairs = events.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b"), "round", "ts")
+    pairs = pairs.select(c("a.epoch").alias("epoch_a"), c("a.counter").alias("counter_a"), c("b.epoch").alias("epoch_b"), c("b.counter").alias("counter_b"), "round", "ts")
+    seen = pairs.groupBy(*SEAM, "round").agg(F.min("ts").alias("first"), F.max("ts").alias("last_seen"))
+    w = Window.partitionBy(*SEAM).orderBy("round")
     fresh = F.coalesce(c("first") - F.lag("last_seen").over(w) > stale, F.lit(True))
     rows = seen.withColumn("fresh", fresh).withColumn("episode", F.sum(c("fresh").cast("int")).over(w))
-    return rows.select("a", "b", "round", F.count("*").over(Window.partitionBy("a", "b", "episode").orderBy("round")).alias("heat"), "last_seen")
+    return rows.select(*SEAM, "round", F.count("*").over(Window.partitionBy(*SEAM, "episode").orderBy("round")).alias("heat"), "last_seen")
 
 
 def hot_pairs(heat: DataFrame, now: int, least: int = 2, stale: int = STALE) -> DataFrame:
     """Pairs that are hot now: seen in enough rounds and not stale, in order."""
-    last = heat.groupBy("a", "b").agg(F.max_by(F.struct("heat", "last_seen"), "round").alias("x"))
-    return last.select("a", "b", "x.heat", "x.last_seen").where((c("heat") >= least) & (F.lit(now) - c("last_seen") <= stale)).orderBy("a", "b")
+    last = heat.groupBy(*SEAM).agg(F.max_by(F.struct("heat", "last_seen"), "round").alias("x"))
+    return last.select(*SEAM, "x.heat", "x.last_seen").where((c("heat") >= least) & (F.lit(now) - c("last_seen") <= stale)).orderBy(*SEAM)
 
 
 def chains(pairs: DataFrame) -> DataFrame:
@@ -38,14 +42,6 @@ def chains(pairs: DataFrame) -> DataFrame:
     Labels are lowered along pairs and along themselves, and written after every round
     to the shared folder, until none changes.
     """
-    spark = pairs.sparkSession
-    root = scratch(spark, "chains")
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = f"{root}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
     links = kept(pairs.select("a", "b").unionAll(pairs.select(c("b").alias("a"), c("a").alias("b"))).distinct())
     labels = kept(links.groupBy(c("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("chain")))
     while True:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 c = F.col
 SEGMENT = ["epoch", "counter"]
+#: Extents that a range is unfolded by at once.
+STEP = 1 << 14
 
 
 def verdicts(frames: DataFrame, views: list[DataFrame], objects: DataFrame) -> DataFrame:
@@ -42,7 +44,9 @@ def read_ranges(reads: DataFrame, extents: DataFrame, extent_bytes: int = 32768)
     """Every extent that a byte range touches, with its location or as a hole, and the bytes wanted of it."""
     first = F.floor(c("offset") / extent_bytes)
     last = F.floor((c("offset") + c("length") - 1) / extent_bytes)
-    rows = reads.select("event_id", "inode", "offset", "length", F.explode(F.sequence(first, last)).alias("extent"))
+    rows = reads.select("event_id", "inode", "offset", "length", first.alias("first_"), last.alias("last_"))
+    # in two steps, so that no array grows with the range
+    rows = rows.withColumn("from_", F.explode(F.sequence("first_", "last_", F.lit(STEP)))).withColumn("extent", F.explode(F.sequence("from_", F.least(c("from_") + STEP - 1, c("last_")))))
     begin, end = c("extent") * extent_bytes, (c("extent") + 1) * extent_bytes
     rows = rows.withColumn("wanted", F.least(end, c("offset") + c("length")) - F.greatest(begin, c("offset")))
     return rows.join(extents.select("inode", "extent", *SEGMENT), ["inode", "extent"], "left").select("event_id", "inode", "extent", "wanted", *SEGMENT, c("epoch").isNull().alias("hole"))

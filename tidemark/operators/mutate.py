@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.intervals import BUCKET, STEP, bucketed, level_list
 from tidemark.operators.namespace import is_ancestor
 
 c = F.col
@@ -34,8 +35,14 @@ def read_clamped(inodes: DataFrame, reads: DataFrame) -> DataFrame:
 def trim(extents: DataFrame, ranges: DataFrame, extent_bytes: int = 32768) -> DataFrame:
     """Whole extents inside trimmed ranges, per file."""
     first, last = F.ceil(c("offset") / extent_bytes), F.floor((c("offset") + c("length")) / extent_bytes) - 1
-    asked = ranges.select("inode", first.alias("first"), last.alias("last")).where("first <= last").select("inode", F.explode(F.sequence("first", "last")).alias("extent"))
-    hit = extents.join(asked.distinct(), ["inode", "extent"])
+    asked = ranges.select("inode", first.alias("first"), (last + 1).alias("stop")).where("first < stop")
+    levels = level_list((asked, "first", "stop"))
+    if not levels:
+        return extents.limit(0).groupBy("inode").agg(F.count("*").alias("dropped"), F.sum("byte_len").alias("bytes"))
+    wide = bucketed(asked, "first", "stop", levels, "own", "from_").where("own").select("inode", "level", "bucket", "first", "stop")
+    # every extent is looked for once at each level that occurs, whatever the ranges span
+    at = extents.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("bucket", F.expr(f"shiftright(extent, level * {STEP} + {BUCKET.bit_length() - 1})"))
+    hit = at.join(wide, ["inode", "level", "bucket"]).where((c("extent") >= c("first")) & (c("extent") < c("stop"))).select(*extents.columns).dropDuplicates(["inode", "extent"])
     return hit.groupBy("inode").agg(F.count("*").alias("dropped"), F.sum("byte_len").alias("bytes"))
 
 

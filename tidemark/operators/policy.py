@@ -50,9 +50,10 @@ def cut_points(inode: list[int], extent: list[int], size: list[int], target: int
     return ends
 
 
-def batches(extents: DataFrame, target: int, slack: int, sliver: int = 0, groups: int = 16) -> DataFrame:
+def batches(extents: DataFrame, target: int, slack: int, sliver: int = 0, group_bytes: int = 1 << 36) -> DataFrame:
     """Extents with the batch that repacking writes them in; files are dealt to groups, each cut in file order.
 
+    There are as many groups as ``group_bytes`` of extents ask for; a task holds the extents of one.
     sliver: a last batch of fewer bytes joins the one before it.
     """
 
@@ -64,6 +65,7 @@ def batches(extents: DataFrame, target: int, slack: int, sliver: int = 0, groups
         rows["batch"] = np.searchsorted(ends, np.arange(len(rows)), side="right")
         return rows[["file_group", "inode", "extent", "byte_len", "batch"]]
 
+    groups = -(-(extents.agg(F.sum("byte_len")).first()[0] or 1) // group_bytes)
     rows = extents.select(F.pmod("inode", F.lit(groups)).alias("file_group"), "inode", "extent", "byte_len")
     return rows.groupBy("file_group").applyInPandas(cut, "file_group long, inode long, extent long, byte_len long, batch long")
 
@@ -89,16 +91,16 @@ def read_ahead_plan(offset: list[int], length: list[int], window: int, least: in
 
 
 def read_ahead(reads: DataFrame, window: int) -> DataFrame:
-    """Read-ahead decisions of every reader, in event order."""
+    """Read-ahead decisions for every file, in event order."""
 
     def plan(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("event_id", ignore_index=True)
         found = read_ahead_plan(rows["offset"].tolist(), rows["length"].tolist(), window)
         rows[["run", "fetch_start", "fetch_end"]] = pd.DataFrame(found, columns=["run", "fetch_start", "fetch_end"]).astype("Int64")
-        return rows[["event_id", "user_id", "run", "fetch_start", "fetch_end"]]
+        return rows[["event_id", "inode", "run", "fetch_start", "fetch_end"]]
 
-    at = reads.select("event_id", "user_id", "offset", "length")
-    return at.groupBy("user_id").applyInPandas(plan, "event_id long, user_id long, run long, fetch_start long, fetch_end long")
+    at = reads.select("event_id", "inode", "offset", "length")
+    return at.groupBy("inode").applyInPandas(plan, "event_id long, inode long, run long, fetch_start long, fetch_end long")
 
 
 class StreamTracker:
@@ -143,21 +145,32 @@ def stream_tracker(reads: DataFrame) -> DataFrame:
     return reads.select("event_id", "path", "offset", "length").groupBy("path").applyInPandas(track, "event_id long, path string, effect string, fetch_window long")
 
 
+def walk_order(pairs: list[tuple]) -> list[list]:
+    """Members of each chain of pairs in breadth-first order from the smallest, neighbours in order."""
+    near: dict = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    found, seen = [], set()
+    for start in sorted(near):
+        if start in seen:
+            continue
+        chain = [start]
+        seen.add(start)
+        for node in chain:
+            fresh = sorted(near[node] - seen)
+            chain += fresh
+            seen.update(fresh)
+        found.append(chain)
+    return found
+
+
 def breadth_first(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(chain, place, node): members of each chain in breadth-first order from the smallest, neighbours by number."""
     edges = pairs.join(members.select(c("node").alias("a"), "chain"), "a").select("chain", "a", "b")
 
     def order(rows: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        for a, b in zip(rows["a"].tolist(), rows["b"].tolist(), strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        out = [min(near)]
-        seen = set(out)
-        for node in out:
-            fresh = sorted(near[node] - seen)
-            out += fresh
-            seen.update(fresh)
+        (out,) = walk_order(list(zip(rows["a"].tolist(), rows["b"].tolist(), strict=True)))
         return pd.DataFrame({"chain": int(rows["chain"].iloc[0]), "place": range(len(out)), "node": out})
 
     return edges.groupBy("chain").applyInPandas(order, "chain long, place long, node long")
@@ -188,34 +201,38 @@ class Round:
         slots, held = (0, 0) if fresh else (self.held_slots, self.held_live)
         return slots + n <= self.reserved_slots and held + live <= self.reserve
 
+    def _room(self, sizes: list[int]) -> int:
+        """How many members from the first on the reserve has room for."""
+        slots, live, n = self.reserved_slots - self.held_slots, self.reserve - self.held_live, 0
+        for size in sizes[: max(0, slots)]:
+            live -= size
+            if live < 0:
+                break
+            n += 1
+        return n
+
     def chain(self, members: list[tuple], edges: list[tuple[int, int]], cold: bool) -> None:
-        """Hot segments that should be written together: all, a prefix of two or more, or the cheapest pair."""
-        if not cold:
-            self.warm += 1
-            return
-        whole = sum(live for _, live in members)
-        if not self._fits(whole, len(members)) and self._fits(whole, len(members), fresh=True):
-            self.deferred += 1
+        """Hot segments that should be written together: all, a prefix of two or more, or the cheapest pair that reads cross.
+
+        edges: places in members of the pairs.  A chain that an empty reserve would hold whole waits for one.
+        """
+        sizes = [live for _, live in members]
+        room = self._room(sizes)
+        wait = room < len(sizes) and self._fits(sum(sizes), len(sizes), fresh=True)
+        if not cold or wait:
+            self.warm += not cold
+            self.deferred += cold
             return
-        group, sums = [], 0
-        for segment, live in members:
-            if not self._fits(sums + live, len(group) + 1):
-                break
-            group.append((segment, live))
-            sums += live
-        if len(group) < min(2, len(members)):
-            pairs = [(members[a][1] + members[b][1], a, b) for a, b in edges if a != b]
-            if not pairs:
+        group = members[:room]
+        if room < min(2, len(members)):
+            pair = min(((sizes[a] + sizes[b], a, b) for a, b in edges if a != b), default=None)
+            if pair is None or pair[0] > self.reserve:
                 self.unpackable += 1
                 return
-            live, a, b = min(pairs)
-            if not self._fits(live, 2):
-                if live <= self.reserve:
-                    self.deferred += 1
-                else:
-                    self.unpackable += 1
+            if not self._fits(pair[0], 2):
+                self.deferred += 1
                 return
-            group = [members[a], members[b]]
+            group = [members[pair[1]], members[pair[2]]]
         for segment, live in group:
             self._take(segment, live, "chain", reserved=True)
 
@@ -244,29 +261,40 @@ class Round:
             self._take(segment, live, "tail", reserved=False)
 
 
-def select_round(rows: DataFrame, live_budget: int, buffer: int = 8192) -> DataFrame:
+def select_round(rows: DataFrame, pairs: DataFrame, live_budget: int, buffer: int = 8192) -> DataFrame:
     """Segments that one round takes, with the reason.
 
-    rows: epoch, counter, live, permille, class, nominated, chain (or NULL), place (in the chain), cold.
-    Of candidates and tail the ``buffer`` best each are looked at, by one task.
+    rows: epoch, counter, live, permille, class, nominated, cold, of all segments with live bytes.
+    pairs: epoch_a, counter_a, epoch_b, counter_b, heat: pairs that reads cross.  Of pairs (the hottest), candidates
+    and tail the ``buffer`` best each are looked at, by one task; pairs with a segment that is not in rows are none.
     """
     order = ["permille", "epoch", "counter"]
-    short = rows.where("chain is not null").unionByName(rows.where("chain is null and class = 'candidate'").orderBy(F.desc("nominated"), *order).limit(buffer)).unionByName(rows.where("chain is null and class = 'tail' and cold").orderBy(*order).limit(buffer))
-
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
+    named = {s: rows.select(c("epoch").alias(f"epoch_{s}"), c("counter").alias(f"counter_{s}")) for s in "ab"}
+    seams = pairs
+    for s in "ab":
+        seams = seams.join(named[s], [f"epoch_{s}", f"counter_{s}"], "left_semi")
+    seams = seams.orderBy(F.desc("heat"), "epoch_a", "counter_a", "epoch_b", "counter_b").limit(buffer).select("epoch_a", "counter_a", "epoch_b", "counter_b")
+    ends = seams.select(c("epoch_a").alias("epoch"), c("counter_a").alias("counter")).unionAll(seams.select("epoch_b", "counter_b")).distinct()
+    short = rows.join(F.broadcast(ends), ["epoch", "counter"], "left_semi").unionByName(rows.where("class = 'candidate'").orderBy(F.desc("nominated"), *order).limit(buffer))
+    short = short.unionByName(rows.where("class = 'tail' and cold").orderBy(*order).limit(buffer)).dropDuplicates(["epoch", "counter"])
+
+    def choose(part: pd.DataFrame, crossed: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order, ignore_index=True)
-        part["key"] = list(zip(part["epoch"], part["counter"], strict=True))
+        key = list(zip(part["epoch"].tolist(), part["counter"].tolist(), strict=True))
+        live, cold = dict(zip(key, part["live"].tolist(), strict=True)), dict(zip(key, part["cold"].tolist(), strict=True))
         own = Round(live_budget)
-        for _, g in part[part["chain"].notna()].sort_values(["chain", "place"]).groupby("chain", sort=True):
-            members = list(zip(g["key"], g["live"], strict=True))
-            own.chain(members, [(k, k + 1) for k in range(len(members) - 1)], bool(g["cold"].all()))
-        ranked = part[part["class"] == "candidate"]
-        own.candidates(list(zip(ranked["key"], ranked["live"], strict=True)), set(ranked["key"][ranked["nominated"]]))
-        rest = part[(part["class"] == "tail") & part["cold"]]
-        own.tail(list(zip(rest["key"], rest["live"], strict=True)))
+        edges = [((a, b), (x, y)) for a, b, x, y in crossed.itertuples(index=False)]
+        for chain in walk_order(edges):
+            place = {s: k for k, s in enumerate(chain)}
+            inside = sorted({tuple(sorted((place[a], place[b]))) for a, b in edges if a in place})
+            own.chain([(s, live[s]) for s in chain], inside, all(cold[s] for s in chain))
+        ranked = [(s, live[s]) for s, k in zip(key, part["class"], strict=True) if k == "candidate"]
+        own.candidates(ranked, {s for s, n in zip(key, part["nominated"], strict=True) if n})
+        own.tail([(s, live[s]) for s, k in zip(key, part["class"], strict=True) if k == "tail" and cold[s]])
         return pd.DataFrame([(*k, why, i) for i, (k, why) in enumerate(own.taken.items())], columns=["epoch", "counter", "reason", "place"])
 
-    return short.groupBy(F.lit(0).alias("round")).applyInPandas(choose, "epoch long, counter long, reason string, place long")
+    one = F.lit(0).alias("round")
+    return short.groupBy(one).cogroup(seams.groupBy(one)).applyInPandas(choose, "epoch long, counter long, reason string, place long")
 
 
 def gate(totals: DataFrame, least_freed: int, seal: int) -> DataFrame:

@@ -22,6 +22,20 @@ def latest(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return log.withColumn("rn_", F.row_number().over(last)).where("rn_ = 1").drop("rn_").where("op <> 'delete'")
 
 
+def views(log: DataFrame, key: str, order: list[str], watermark: int, seq: str = "seqno") -> DataFrame:
+    """Each key as readers see it and as it would be after a crash: (key, value, durable, durable_value).
+
+    durable: whether the visible value has reached the durable sequence number; a deleted value is null, and a key that
+    neither view has is left out.
+    """
+    at, last = F.struct(*order), F.struct("op", "value", seq)
+    old = F.col(seq) <= watermark
+    both = log.groupBy(key).agg(F.max_by(last, at).alias("v"), F.max_by(F.when(old, last), F.when(old, at)).alias("d"))
+    held = lambda x: F.when(F.col(f"{x}.op") != "delete", F.col(f"{x}.value"))
+    rows = both.where((F.col("v.op") != "delete") | (F.col("d.op") != "delete"))
+    return rows.select(key, held("v").alias("value"), (F.col(f"v.{seq}") <= watermark).alias("durable"), held("d").alias("durable_value"))
+
+
 def range_scan(table: DataFrame, key: list[str], low: list, high: list) -> DataFrame:
     """Rows with low <= key < high, in key order; compound keys compare as structs."""
     at = F.struct(*key)

@@ -11,7 +11,10 @@ from tidemark.plans.registry import query
 c = F.col
 
 
-@query("i1_dangling_entries", "SELECT dir_id, name, inode_id FROM dir_entry WHERE inode_id NOT IN (SELECT inode_id FROM inode)")
+_MET = """WITH RECURSIVE reach AS (SELECT CAST(0 AS BIGINT) AS dir_id UNION SELECT e.inode_id FROM reach r JOIN dir_entry e ON e.dir_id = r.dir_id), met AS (SELECT e.* FROM dir_entry e JOIN reach ON reach.dir_id = e.dir_id) """
+
+
+@query("i1_dangling_entries", _MET + "SELECT dir_id, name, inode_id FROM met WHERE inode_id NOT IN (SELECT inode_id FROM inode)")
 def i1(t):
     return audit.dangling_entries(t.dir_entry, t.inode)
 
@@ -21,12 +24,12 @@ def i2(t):
     return audit.entry_counts(t.inode, t.dir_entry).select("inode_id", "stored", "actual")
 
 
-@query("i3_link_counts", "SELECT i.inode_id, i.nlink, CAST(count(*) AS BIGINT) AS refs FROM inode i JOIN dir_entry e ON e.inode_id = i.inode_id WHERE kind <> 'directory' GROUP BY i.inode_id, i.nlink HAVING i.nlink <> count(*)")
+@query("i3_link_counts", _MET + "SELECT i.inode_id, i.nlink, CAST(count(*) AS BIGINT) AS refs FROM inode i JOIN met e ON e.inode_id = i.inode_id WHERE kind <> 'directory' GROUP BY i.inode_id, i.nlink HAVING i.nlink <> count(*)")
 def i3(t):
     return audit.link_counts(t.inode, t.dir_entry)
 
 
-@query("i4_unreferenced_inodes", "SELECT inode_id, kind FROM inode WHERE inode_id <> 0 AND inode_id NOT IN (SELECT inode_id FROM dir_entry) AND inode_id NOT IN (SELECT inode_id FROM orphan)")
+@query("i4_unreferenced_inodes", _MET + "SELECT inode_id, kind FROM inode WHERE inode_id <> 0 AND inode_id NOT IN (SELECT inode_id FROM met) AND inode_id NOT IN (SELECT inode_id FROM orphan)")
 def i4(t):
     return audit.unreferenced(t.inode, t.dir_entry, t.orphan)
 
@@ -36,8 +39,8 @@ def i5(t):
     return t.orphan
 
 
-@query("i6_usage_counters", """SELECT 'used_bytes' AS metric, CAST((SELECT sum(used_bytes) FROM stats_shard) AS BIGINT) AS stored, CAST(sum(CASE WHEN kind = 'file' THEN size ELSE 0 END) AS BIGINT) AS computed FROM inode WHERE inode_id <> 0 AND inode_id IN (SELECT inode_id FROM dir_entry)
-  UNION ALL SELECT 'used_inodes', CAST((SELECT sum(used_inodes) FROM stats_shard) AS BIGINT), count(*) FROM inode WHERE inode_id <> 0 AND inode_id IN (SELECT inode_id FROM dir_entry)""")
+@query("i6_usage_counters", _MET + """SELECT 'used_bytes' AS metric, CAST((SELECT sum(used_bytes) FROM stats_shard) AS BIGINT) AS stored, CAST(sum(CASE WHEN kind = 'file' THEN size ELSE 0 END) AS BIGINT) AS computed FROM inode WHERE inode_id <> 0 AND inode_id IN (SELECT inode_id FROM met)
+  UNION ALL SELECT 'used_inodes', CAST((SELECT sum(used_inodes) FROM stats_shard) AS BIGINT), count(*) FROM inode WHERE inode_id <> 0 AND inode_id IN (SELECT inode_id FROM met)""")
 def i6(t):
     return audit.usage(t.inode, t.dir_entry, t.stats_shard)
 

@@ -34,10 +34,10 @@ def c2(t):
         codec.parse("SEGCOUNT", key, 0).cast("long").alias("wrong_kind"), codec.parse("EXTENT", F.substring(key, 1, 20), 0).cast("long").alias("wrong_length"))
 
 
-@query("c3_describe_keys", "SELECT counter, 'SEGCOUNT' AS kind, concat('epoch=', CAST(epoch AS STRING), ', counter=', CAST(counter AS STRING)) AS detail, 'raw=6D65746109' || substr(printf('%016X', epoch), 1, 6) AS cut FROM segcount WHERE epoch = 1996")
+@query("c3_describe_keys", "SELECT counter, 'SEGCOUNT' AS kind, concat('epoch=', CAST(epoch AS STRING), ', counter=', CAST(counter AS STRING)) AS detail, 'raw=6D65746109' || substr(printf('%016X', epoch), 1, 6) AS cut FROM segcount")
 def c3(t):
     key = codec.key("SEGCOUNT", c("epoch"), c("counter"))
-    return t.segcount.where("epoch = 1996").select("counter", codec.kind_of(key).alias("kind"), codec.describe(key).alias("detail"), codec.describe(F.substring(key, 1, 8)).alias("cut"))
+    return t.segcount.select("counter", codec.kind_of(key).alias("kind"), codec.describe(key).alias("detail"), codec.describe(F.substring(key, 1, 8)).alias("cut"))
 
 
 def _little(value: str, size: int) -> str:

@@ -40,12 +40,12 @@ def g4(t):
 
 @query("g5_batch_cuts")
 def g5(t):
-    return policy.batches(t.extent.where("epoch = 1998"), target=4_000_000, slack=200_000)
+    return policy.batches(t.extent, target=4_000_000, slack=200_000, group_bytes=1 << 28)
 
 
 @query("g6_final_sliver")
 def g6(t):
-    return policy.batches(t.extent.where("epoch = 1998"), target=4_000_000, slack=200_000, sliver=3_000_000).groupBy("file_group", "batch").agg(F.count("*").alias("extents"), F.sum("byte_len").alias("bytes"))
+    return policy.batches(t.extent, target=4_000_000, slack=200_000, sliver=3_000_000, group_bytes=1 << 28).groupBy("file_group", "batch").agg(F.count("*").alias("extents"), F.sum("byte_len").alias("bytes"))
 
 
 _SCORED = "SELECT *, live * 1000 // greatest(total, 1) AS permille FROM segcount WHERE live > 0 AND (live * 2 < total OR total < 50000)"
@@ -69,8 +69,8 @@ def g9(t):
     return rows.select("ts", F.round(c("read_ops_rate") * c("dt")).cast("long").alias("reads"), F.round(c("write_ops_rate") * c("dt")).cast("long").alias("writes"))
 
 
-_HEAT = """WITH b AS (SELECT least(counter_a, counter_b) AS a, greatest(counter_a, counter_b) AS b, round, min(ts) AS first, max(ts) AS last FROM seam_event GROUP BY ALL), g AS (SELECT *, coalesce(first - lag(last) OVER w > 1800, true) AS fresh FROM b WINDOW w AS (PARTITION BY a, b ORDER BY round)),
-  s AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY a, b ORDER BY round) AS episode FROM g) SELECT a, b, round, CAST(count(*) OVER (PARTITION BY a, b, episode ORDER BY round) AS BIGINT) AS heat, last AS last_seen FROM s"""
+_HEAT = """WITH b AS (SELECT least(epoch_a * 10000 + counter_a, epoch_b * 10000 + counter_b) AS a, greatest(epoch_a * 10000 + counter_a, epoch_b * 10000 + counter_b) AS b, round, min(ts) AS first, max(ts) AS last FROM seam_event GROUP BY ALL), g AS (SELECT *, coalesce(first - lag(last) OVER w > 1800, true) AS fresh FROM b WINDOW w AS (PARTITION BY a, b ORDER BY round)),
+  s AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY a, b ORDER BY round) AS episode FROM g) SELECT a // 10000 AS epoch_a, a % 10000 AS counter_a, b // 10000 AS epoch_b, b % 10000 AS counter_b, round, CAST(count(*) OVER (PARTITION BY a, b, episode ORDER BY round) AS BIGINT) AS heat, last AS last_seen FROM s"""
 
 
 @query("g10_pair_heat", _HEAT)
@@ -80,9 +80,9 @@ def g10(t):
 
 @query("g11_read_ahead")
 def g11(t):
-    # readers go on where they stopped, but for every fifth read
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    reads = t.access.where("operation = 'read'").withColumn("user_id", c("user_id") % 50)
+    # fifty files, each read on where the last read stopped, but for every fifth read
+    w = Window.partitionBy("inode").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    reads = t.access.where("operation = 'read'").withColumn("inode", c("user_id") % 50)
     reads = reads.withColumn("offset", F.when(c("event_id") % 5 == 0, c("offset")).otherwise(F.coalesce(F.sum("length").over(w), F.lit(0))))
     return policy.read_ahead(reads, window=1 << 16)
 

@@ -31,7 +31,7 @@ def k1_order(t):
     return policy.breadth_first(heat.chains(pairs), pairs)
 
 
-@query("k2_hot_pairs", f"SELECT a, b, heat, last_seen FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY round DESC) AS rn FROM ({_HEAT})) WHERE rn = 1 AND heat >= 2 AND (SELECT max(ts) FROM seam_event) - last_seen <= 400000")
+@query("k2_hot_pairs", f"SELECT epoch_a, counter_a, epoch_b, counter_b, heat, last_seen FROM (SELECT *, row_number() OVER (PARTITION BY epoch_a, counter_a, epoch_b, counter_b ORDER BY round DESC) AS rn FROM ({_HEAT})) WHERE rn = 1 AND heat >= 2 AND (SELECT max(ts) FROM seam_event) - last_seen <= 400000")
 def k2(t):
     now = t.seam_event.agg(F.max("ts")).first()[0]
     return heat.hot_pairs(heat.pair_heat(t.seam_event), now, stale=400_000)
@@ -39,10 +39,11 @@ def k2(t):
 
 @query("k3_select_round")
 def k3(t):
-    rows = classify(t.segcount, small=50_000, floor_percent=5).where("class in ('candidate', 'tail')")
+    rows = classify(t.segcount.where("live > 0"), small=50_000, floor_percent=5)
     rows = rows.withColumn("nominated", c("counter") % 13 == 0).withColumn("cold", write_cold(c("epoch"), c("counter"), 2000, 2000))
-    chain = F.when((c("counter") % 251 < 3) & (c("class") == "candidate"), c("epoch") * 100 + F.floor(c("counter") / 251))
-    return policy.select_round(rows.withColumn("chain", chain).withColumn("place", c("counter") % 251).select("epoch", "counter", "live", "permille", "class", "nominated", "cold", "chain", "place"), 4_000_000)
+    now = t.seam_event.agg(F.max("ts")).first()[0]
+    hot = heat.hot_pairs(heat.pair_heat(t.seam_event), now, stale=400_000)
+    return policy.select_round(rows.select("epoch", "counter", "live", "permille", "class", "nominated", "cold"), hot, 4_000_000)
 
 
 @query("k4_round_gate", "SELECT epoch, CAST(sum(total - live) AS BIGINT) AS freed, CAST(sum(live) AS BIGINT) AS live, CAST(count(CASE WHEN counter % 997 = 0 THEN 1 END) AS BIGINT) AS chains, sum(total - live) >= 100000000 OR sum(live) * 4 >= 2000000000 OR count(CASE WHEN counter % 997 = 0 THEN 1 END) > 0 AS go FROM segcount GROUP BY epoch")

@@ -17,18 +17,18 @@ def _access(t):
 
 @query("a17_access_stream", "SELECT ts // 300 * 300 AS start, operation, CAST(count(*) AS BIGINT) AS events, CAST(sum(length) AS BIGINT) AS bytes FROM access GROUP BY ALL")
 def a17(t):
-    return streams.complete(streams.windowed(_access(t), "5 minutes", ["operation"]))
+    return streams.updated(streams.windowed(_access(t), "5 minutes", ["operation"]), ["start", "operation"])
 
 
 @query("a18_object_stream", "SELECT CASE event_id % 3 WHEN 0 THEN 'data' WHEN 1 THEN 'wal' ELSE 'meta' END AS store, operation, CAST(count(*) AS BIGINT) AS events, CAST(sum(length * 3) AS BIGINT) AS duration_us, count(CASE WHEN event_id % 29 = 0 THEN 1 END) AS errors FROM access GROUP BY ALL")
 def a18(t):
     rows = streams.object_events(_access(t)).groupBy("store", "operation")
-    return streams.complete(rows.agg(F.count("*").alias("events"), F.sum("duration_us").alias("duration_us"), F.count_if("error").alias("errors")))
+    return streams.updated(rows.agg(F.count("*").alias("events"), F.sum("duration_us").alias("duration_us"), F.count_if("error").alias("errors")), ["store", "operation"])
 
 
 @query("a19_stats_sampler", "SELECT ts // 60 * 60 AS start, CAST(count(*) AS BIGINT) AS events, CAST(sum(length) AS BIGINT) AS bytes FROM access GROUP BY ALL")
 def a19(t):
-    return streams.complete(streams.windowed(_access(t), "1 minute", []))
+    return streams.updated(streams.windowed(_access(t), "1 minute", []), ["start"])
 
 
 @query("l1_lossless_events", "SELECT event_id, operation, length FROM access")
@@ -62,9 +62,12 @@ def l5(t):
     return changelog.first_results(t.op_log, "op_id", "ts", 150).select("op_id", "event_id", "role")
 
 
-@query("l6_durable_view", "SELECT key, value, seqno <= 8000 AS durable FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seqno DESC, op_index DESC) AS rn FROM change) WHERE rn = 1 AND op <> 'delete'")
+_LAST = "SELECT key, op, value, seqno FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seqno DESC, op_index DESC, epoch DESC, op DESC, value DESC) AS rn FROM change WHERE seqno <= {}) WHERE rn = 1"
+
+
+@query("l6_durable_view", f"SELECT v.key, CASE WHEN v.op <> 'delete' THEN v.value END AS value, v.seqno <= 800 AS durable, CASE WHEN d.op <> 'delete' THEN d.value END AS durable_value FROM ({_LAST.format(1 << 60)}) v LEFT JOIN ({_LAST.format(800)}) d ON d.key = v.key WHERE v.op <> 'delete' OR d.op <> 'delete'")
 def l6(t):
-    return scan.latest(t.change, ["key"], ["seqno", "op_index"]).select("key", "value", (c("seqno") <= 8000).alias("durable"))
+    return scan.views(t.change, "key", ["seqno", "op_index", "epoch", "op", "value"], 800)
 
 
 @query("l7_sessions", "SELECT user_id, min(ts) AS start, max(ts) + 1800 AS stop, CAST(count(*) AS BIGINT) AS events FROM (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 1800, true) AS gap FROM access)) GROUP BY user_id, s")
@@ -74,8 +77,9 @@ def l7(t):
 
 @query("l8_periodic_ticks", "SELECT ts // 60 AS tick, ts // 60 % 60 = 0 AS hourly, CAST(count(*) AS BIGINT) AS events FROM access GROUP BY ALL")
 def l8(t):
-    """Work due at each tick of a minute, and at every sixtieth."""
-    rows = t.access.groupBy(F.expr("ts div 60").alias("tick")).agg(F.count("*").alias("events"))
+    """Work due at each tick of a minute, and at every sixtieth; the stream is looked at on a timer."""
+    got = streams.ticking(_access(t).select(F.unix_seconds("time").alias("ts")), "1 second")
+    rows = got.groupBy(F.expr("ts div 60").alias("tick")).agg(F.count("*").alias("events"))
     return rows.select("tick", (c("tick") % 60 == 0).alias("hourly"), "events")
 
 
@@ -87,7 +91,7 @@ def l9(t):
 
 @query("l10_sliding_windows", "SELECT start, CAST(count(*) AS BIGINT) AS events, CAST(sum(length) AS BIGINT) AS bytes FROM (SELECT length, unnest(range(ts // 300 * 300 - 300, ts // 300 * 300 + 1, 300)) AS start FROM access) GROUP BY start")
 def l10(t):
-    return streams.complete(streams.windowed(_access(t), "10 minutes", [], slide="5 minutes"))
+    return streams.updated(streams.windowed(_access(t), "10 minutes", [], slide="5 minutes"), ["start"])
 
 
 @query("l10_stream_join", "SELECT a.event_id AS a_id, b.event_id AS b_id FROM access a JOIN access b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + 3600 WHERE a.operation = 'lookup' AND b.operation = 'write'")

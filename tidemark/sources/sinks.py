@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,11 +11,18 @@ from tidemark.operators.scan import latest
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/tidemark-checkpoints"
     return f"{root}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Cut lineage: write to the shared folder and read it again."""
+    path = scratch(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def batch_write(changes: DataFrame, path: str, keys: list[str], order: list[str], log: str | None = None) -> None:
     """Write the state after a batch, the last write of a key winning; log: also write the changes."""
     latest(changes, keys, order).write.parquet(path)

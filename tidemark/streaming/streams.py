@@ -51,8 +51,9 @@ def sessions(access: DataFrame, gap: str, by: list[str], late: str = "10 minutes
 
 
 def once(ops: DataFrame, key: str, retention: str) -> DataFrame:
-    """The first op of each id within the retention; ids of 0 are exempt and belong to another branch."""
-    return ops.where(c(key) != 0).withWatermark("time", retention).dropDuplicatesWithinWatermark([key])
+    """The ops that run: the first of each id within the retention, and all with the id 0, which is exempt."""
+    ops = ops.withWatermark("time", retention)
+    return ops.where(c(key) != 0).dropDuplicatesWithinWatermark([key]).unionByName(ops.where(c(key) == 0))
 
 
 def with_paths(access: DataFrame, paths: DataFrame) -> DataFrame:
@@ -80,12 +81,55 @@ def _run(spark: SparkSession, start: Callable, partitions: int = 8) -> None:
     running.awaitTermination()
 
 
+def _written(rows: DataFrame, mode: str) -> DataFrame:
+    """What each micro-batch of a query gives, as Parquet rows with its number (``batch_``)."""
+    spark, place = rows.sparkSession, scratch(rows.sparkSession, "stream")
+    schema = f"{rows._jdf.schema().toDDL()}, batch_ long"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch_", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{place}/rows/part={number}")
+
+    spark.createDataFrame([], schema).write.parquet(f"{place}/rows/part=-1")
+    _run(spark, lambda: rows.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start())
+    return spark.read.schema(schema).parquet(f"{place}/rows/part=*")
+
+
+def updated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The result of a streaming aggregation over all input that there is now: the last update of each key.
+
+    Updates go to files; state is dropped once the watermark has passed it.
+    """
+    rest = [k for k in rows.columns if k not in keys]
+    got = _written(rows, "update")
+    if not keys:
+        return got.agg(F.max_by(F.struct(*rest), "batch_").alias("x")).select("x.*")
+    return got.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_").alias("x")).select(*keys, "x.*").select(*rows.columns)
+
+
 def complete(rows: DataFrame) -> DataFrame:
-    """The result table of a streaming aggregation over all input that there is now."""
-    spark, name = rows.sparkSession, f"stream_{uuid.uuid4().hex}"
-    place = scratch(spark, name)
-    _run(spark, lambda: rows.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", place).trigger(availableNow=True).start())
-    return spark.table(name)
+    """The same for aggregations that have no updates (session windows): the files of the last micro-batch.
+
+    Their state stays until the query ends.
+    """
+    got = _written(rows, "complete")
+    return got.join(F.broadcast(got.agg(F.max("batch_").alias("batch_"))), "batch_").select(*rows.columns)
+
+
+def ticking(rows: DataFrame, every: str) -> DataFrame:
+    """Rows of a stream that is looked at on a processing-time trigger, with the tick at which they came."""
+    spark, place = rows.sparkSession, scratch(rows.sparkSession, "ticks")
+    schema = f"{rows._jdf.schema().toDDL()}, tick_ long"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("tick_", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{place}/rows/part={number}")
+
+    spark.createDataFrame([], schema).write.parquet(f"{place}/rows/part=-1")
+    running = rows.writeStream.foreachBatch(put).option("checkpointLocation", f"{place}/log").trigger(processingTime=every).start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.read.schema(schema).parquet(f"{place}/rows/part=*")
 
 
 def appended(rows: DataFrame) -> DataFrame:
