@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import changelog, intervals, layout, mutate
+from tidemark.operators import changelog, intervals, layout, mutate, transact
 from tidemark.plans.registry import query
 
 c = F.col
@@ -119,3 +119,80 @@ def m7(t):
 @query("m8_orphan_reclaim", "SELECT o.inode_id, coalesce(i.size, 0) AS bytes FROM orphan o LEFT JOIN inode i ON i.inode_id = o.inode_id WHERE o.inode_id % 2 = 0")
 def m8(t):
     return mutate.reclaim_orphans(t.orphan.where("inode_id % 2 = 0"), t.inode)
+
+
+def _tables(t):
+    return {name: getattr(t, name) for name in transact.KEYS}
+
+
+def _counts(ctes: str, **counted: str) -> str:
+    """SQL of the rows that a batch puts (``table``) and deletes (``no_table``)."""
+    rows = " UNION ALL ".join(f"""SELECT '{k.removeprefix("no_")}' AS "table", '{"delete" if k.startswith("no_") else "put"}' AS op, count(*) AS rows FROM {v}""" for k, v in counted.items())
+    return f"WITH {ctes} {rows}"
+
+
+_FREE = "FROM n JOIN inode i ON i.inode_id = n.dir_id AND i.kind = 'directory' WHERE NOT EXISTS (SELECT 1 FROM dir_entry e WHERE e.dir_id = n.dir_id AND e.name = n.name)"
+_NEW = "n AS (SELECT 1000000 + event_id % 1500 AS dir_id, concat('new-', CAST(event_id AS STRING)) AS name, 20000000000 + event_id AS inode_id FROM access WHERE operation = 'create')"
+
+
+@query("m9_create_changes", _counts(f"{_NEW}, p AS (SELECT n.* {_FREE})", dir_entry="p", dir_scan="p", dir_cookie="(SELECT DISTINCT dir_id FROM p)", inode="(SELECT inode_id FROM p UNION SELECT dir_id FROM p)", stats_shard="(SELECT DISTINCT inode_id % 100 FROM p)"))
+def m9(t):
+    kind = F.when(c("event_id") % 3 == 0, "file").when(c("event_id") % 3 == 1, "directory").otherwise("symlink")
+    new = t.access.where("operation = 'create'").select(
+        (1_000_000 + c("event_id") % 1500).alias("dir_id"), F.concat(F.lit("new-"), c("event_id").cast("string")).alias("name"), (20_000_000_000 + c("event_id")).alias("inode_id"), kind.alias("kind"), F.when(kind == "symlink", 9).otherwise(0).cast("long").alias("size"),
+        F.lit(420).cast("long").alias("mode"), (c("user_id") % 7).alias("uid"), (c("user_id") % 5).alias("gid"),
+    )
+    return transact.create(_tables(t), new, 0).summary()
+
+
+_LN = "n AS (SELECT DISTINCT 1000000 + user_id % 150 AS dir_id, concat('ln-', CAST(event_id AS STRING)) AS name, inode AS inode_id FROM access WHERE operation = 'lookup')"
+
+
+@query(
+    "m10_link_changes",
+    _counts(
+        f"{_LN}, p AS (SELECT n.* {_FREE} AND EXISTS (SELECT 1 FROM inode f WHERE f.inode_id = n.inode_id AND f.kind <> 'directory' AND f.nlink > 0))", dir_entry="p",
+        dir_scan="(SELECT dir_id, name FROM p UNION ALL SELECT dir_id, name FROM dir_scan WHERE e_size IS NOT NULL AND inode_id IN (SELECT inode_id FROM p))", dir_cookie="(SELECT DISTINCT dir_id FROM p)", inode="(SELECT inode_id FROM p UNION SELECT dir_id FROM p)",
+    ),
+)
+def m10(t):
+    new = t.access.where("operation = 'lookup'").select((1_000_000 + c("user_id") % 150).alias("dir_id"), F.concat(F.lit("ln-"), c("event_id").cast("string")).alias("name"), c("inode").alias("inode_id"))
+    return transact.link(_tables(t), new).summary()
+
+
+_GONE_NAMES = "g AS (SELECT e.*, i.kind, i.size, i.nlink FROM dir_entry e JOIN inode i ON i.inode_id = e.inode_id WHERE e.inode_id % 7 = 3 AND (i.kind <> 'directory' OR NOT EXISTS (SELECT 1 FROM dir_entry x WHERE x.dir_id = e.inode_id)))"
+_FATES = "f AS (SELECT inode_id, kind, size, CASE WHEN kind <> 'directory' AND count(*) < nlink THEN 'named' WHEN inode_id % 4 = 0 THEN 'orphan' ELSE 'gone' END AS fate FROM g GROUP BY inode_id, kind, size, nlink)"
+
+
+@query(
+    "m11_remove_changes",
+    _counts(
+        f"{_GONE_NAMES}, {_FATES}, above AS (SELECT DISTINCT dir_id AS inode_id FROM g WHERE dir_id IN (SELECT inode_id FROM inode WHERE kind = 'directory') AND dir_id NOT IN (SELECT inode_id FROM f WHERE fate = 'gone'))",
+        inode="(SELECT inode_id FROM above UNION ALL SELECT inode_id FROM f WHERE fate <> 'gone')", stats_shard="(SELECT DISTINCT inode_id % 100 FROM f WHERE fate = 'gone')", tombstone="(SELECT 1 FROM f WHERE fate = 'gone' AND kind = 'file' AND size > 0)",
+        orphan="(SELECT 1 FROM f WHERE fate = 'orphan')", no_dir_entry="g", no_dir_scan="g", no_inode="(SELECT 1 FROM f WHERE fate = 'gone')", no_dir_cookie="(SELECT 1 FROM f WHERE fate = 'gone' AND kind = 'directory')",
+    ),
+)
+def m11(t):
+    return transact.remove(_tables(t), t.dir_entry.where("inode_id % 7 = 3"), t.inode.where("inode_id % 4 = 0"), 0).summary()
+
+
+_MOVES = "n AS (SELECT e.dir_id AS from_dir, 100 + e.inode_id % 25 AS dir_id, concat(e.name, '-m') AS name, e.inode_id FROM dir_entry e JOIN inode o ON o.inode_id = e.inode_id WHERE e.inode_id BETWEEN 1000000 AND 9999999999)"
+
+
+@query(
+    "m12_rename_changes",
+    _counts(
+        f"{_MOVES}, p AS (SELECT n.* {_FREE})", dir_entry="p", dir_scan="p", dir_cookie="(SELECT DISTINCT dir_id FROM p)",
+        inode="(SELECT inode_id FROM p UNION SELECT dir_id FROM p UNION SELECT from_dir FROM p WHERE from_dir IN (SELECT inode_id FROM inode WHERE kind = 'directory'))", no_dir_entry="p", no_dir_scan="p",
+    ),
+)
+def m12(t):
+    moves = t.dir_entry.where("inode_id between 1000000 and 9999999999").select("dir_id", "name", (100 + c("inode_id") % 25).alias("to_dir"), F.concat("name", F.lit("-m")).alias("to_name"))
+    return transact.rename(_tables(t), moves).summary()
+
+
+@query("m13_set_attributes", """SELECT inode_id, CASE WHEN who <> 0 AND to_gid IS NOT NULL AND kind <> 'directory' THEN m & 1023 ELSE m END AS mode, coalesce(to_uid, uid) AS uid, coalesce(to_gid, gid) AS gid FROM (
+  SELECT *, inode_id % 4 AS who, CASE WHEN inode_id % 3 = 0 THEN 420 ELSE mode END AS m, CASE WHEN inode_id % 8 = 4 THEN 1 END AS to_uid, CASE WHEN inode_id % 3 = 1 THEN 2 END AS to_gid FROM inode) WHERE (who = 0 OR who = uid) AND (who = 0 OR to_uid IS NULL OR to_uid = uid)""")
+def m13(t):
+    asked = t.inode.select("inode_id", (c("inode_id") % 4).alias("who"), F.when(c("inode_id") % 3 == 0, F.lit(420)).cast("long").alias("mode"), F.when(c("inode_id") % 8 == 4, F.lit(1)).cast("long").alias("uid"), F.when(c("inode_id") % 3 == 1, F.lit(2)).cast("long").alias("gid"))
+    return transact.set_attributes(_tables(t), asked).put["inode"].select("inode_id", "mode", "uid", "gid")
