@@ -115,3 +115,22 @@ def test_rounds_take_pairs_that_reads_cross(spark):
     assert got == [(2, "chain"), (3, "chain"), (9, "rank")]
     got = [(r.counter, r.reason) for r in policy.select_round(rows, pairs.where("counter_a = 1"), 140).orderBy("place").collect()]
     assert got == [(9, "rank")]
+
+
+def test_merged_batches_and_exempt_ids(spark, tmp_path):
+    from tidemark.streaming import streams
+
+    draw = random.Random(7)
+    rows = [(draw.randrange(40), k, k * 10, draw.choice(["put", "put", "delete"])) for k in range(300)]
+    schema = "key long, seqno long, value long, op string"
+    for k in range(3):
+        spark.createDataFrame(rows[k * 100 : k * 100 + 100], schema).coalesce(1).write.parquet(str(tmp_path / f"in/part{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    last = {r[0]: r for r in rows}
+    got = streams.merged(stream, ["key"], ["seqno"], buckets=5).collect()
+    assert {r.key: r.value for r in got} == {k: r[2] for k, r in last.items() if r[3] == "put"}
+    ops = spark.createDataFrame([(k % 3, k) for k in range(12)], "op_id long, event_id long")
+    ops.write.parquet(str(tmp_path / "ops"))
+    source = spark.readStream.schema(ops.schema).parquet(str(tmp_path / "ops")).withColumn("time", F.timestamp_seconds("event_id"))
+    got = streams.appended(streams.once(source, "op_id", "1 hour").select("op_id", "event_id")).collect()
+    assert sorted(r.event_id for r in got if r.op_id == 0) == [0, 3, 6, 9] and sorted(r.op_id for r in got if r.op_id) == [1, 2]

@@ -25,14 +25,23 @@ _GONE = "SELECT DISTINCT inode, owner, CAST(inode * 37 + owner * 11 AS BIGINT) A
 _OPEN = 4611686018427387903
 
 
-@query("j3_subtract_ranges", f"""WITH h AS (SELECT l.*, CASE WHEN l.length = 0 THEN {_OPEN} ELSE l.start + l.length END AS stop, g_start, CASE WHEN g_length = 0 THEN {_OPEN} ELSE g_start + g_length END AS g_stop FROM lock l LEFT JOIN ({_GONE}) g USING (inode, owner)),
+_UNLOCKED = f"""WITH h AS (SELECT l.*, CASE WHEN l.length = 0 THEN {_OPEN} ELSE l.start + l.length END AS stop, g_start, CASE WHEN g_length = 0 THEN {_OPEN} ELSE g_start + g_length END AS g_stop FROM lock l LEFT JOIN ({_GONE}) g USING (inode, owner)),
   p AS (SELECT inode, owner, kind, start, stop FROM h WHERE g_start IS NULL OR start >= g_stop OR g_start >= stop UNION ALL SELECT inode, owner, kind, start, least(stop, g_start) FROM h WHERE g_start IS NOT NULL AND NOT (start >= g_stop OR g_start >= stop) AND start < g_start
-  UNION ALL SELECT inode, owner, kind, greatest(start, g_stop), stop FROM h WHERE g_start IS NOT NULL AND NOT (start >= g_stop OR g_start >= stop) AND g_stop < stop) SELECT inode, owner, kind, start, CASE WHEN stop = {_OPEN} THEN 0 ELSE stop - start END AS length FROM p""")
+  UNION ALL SELECT inode, owner, kind, greatest(start, g_stop), stop FROM h WHERE g_start IS NOT NULL AND NOT (start >= g_stop OR g_start >= stop) AND g_stop < stop) SELECT inode, owner, kind, start, CASE WHEN stop = {_OPEN} THEN 0 ELSE stop - start END AS length FROM p"""
+
+
+@query("j3_subtract_ranges", _UNLOCKED)
 def j3(t):
     gone = t.lock.where("owner < 5").select("inode", "owner", (c("inode") * 37 + c("owner") * 11).alias("start"), F.when(c("owner") == 3, 0).otherwise(1500).cast("long").alias("length")).distinct()
     return intervals.unlock(t.lock, gone)
 
 
+@query("j8_relock", _UNLOCKED + f" UNION ALL SELECT inode, owner, 'write', g_start, g_length FROM ({_GONE})")
+def j8(t):
+    wanted = t.lock.where("owner < 5").select("inode", "owner", F.lit("write").alias("kind"), (c("inode") * 37 + c("owner") * 11).alias("start"), F.when(c("owner") == 3, 0).otherwise(1500).cast("long").alias("length")).distinct()
+    return intervals.relock(t.lock, wanted)
+
+
 @query("j4_release_sessions", "SELECT * FROM lock WHERE owner NOT IN (SELECT s_suppkey % 7 FROM supplier WHERE s_suppkey < 3)")
 def j4(t):
     owners = t.supplier.where("s_suppkey < 3").select((c("s_suppkey") % 7).alias("owner"))

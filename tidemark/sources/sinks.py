@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +11,31 @@ from pyspark.sql import functions as F
 from tidemark.operators.scan import latest
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder for what this application writes in between, which driver and executors share.
+
+    It is below spark.checkpoint.dir; where that is unset below the warehouse, and on a single machine in its
+    temporary folder.  The file system deletes it when the application ends.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if root is None:
+            root = tempfile.gettempdir() if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+        _roots[app] = f"{root}/tidemark/{app}"
+        place = spark._jvm.org.apache.hadoop.fs.Path(_roots[app])
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+    return _roots[app]
+
+
+_roots: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/tidemark-checkpoints"
-    return f"{root}/tidemark/{name}-{uuid.uuid4().hex}"
+    """A new folder below that of the application."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame) -> DataFrame:

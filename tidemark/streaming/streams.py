@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import latest
@@ -139,21 +138,24 @@ def appended(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{place}/rows")
 
 
-def merged(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """State after all micro-batches of a change stream, each coalesced to its last writes and merged into a new version."""
+def merged(changes: DataFrame, keys: list[str], order: list[str], buckets: int = 16) -> DataFrame:
+    """State after all micro-batches of a change stream, each coalesced to its last writes and merged into a new version.
+
+    The state lies in ``buckets`` of keys; a micro-batch reads and rewrites those that it touches.
+    """
     spark, place = changes.sparkSession, scratch(changes.sparkSession, "merged")
-    versions: list[str] = []
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(k) for k in order]))
+    last: dict[int, str] = {}
 
     def merge(batch: DataFrame, number: int) -> None:
-        last = batch
-        if versions:
-            last = spark.read.parquet(versions[-1]).unionByName(batch)
-        path = f"{place}/version={number}"
-        from pyspark.sql import Window
-
-        newest = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(k) for k in order]))
-        last.withColumn("rn_", newest).where("rn_ = 1").drop("rn_").write.mode("overwrite").parquet(path)
-        versions.append(path)
+        batch = batch.withColumn("bucket_", F.pmod(F.hash(*keys), F.lit(buckets)))
+        touched = [r.bucket_ for r in batch.select("bucket_").distinct().collect()]
+        before = [last[b] for b in touched if b in last]
+        rows = batch.unionByName(spark.read.schema(batch.drop("bucket_").schema).parquet(*before).withColumn("bucket_", F.pmod(F.hash(*keys), F.lit(buckets)))) if before else batch
+        rows.withColumn("rn_", newest).where("rn_ = 1").drop("rn_").write.mode("overwrite").partitionBy("bucket_").parquet(f"{place}/version={number}")
+        last.update({b: f"{place}/version={number}/bucket_={b}" for b in touched})
 
     _run(spark, lambda: changes.writeStream.foreachBatch(merge).option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start())
-    return latest(spark.read.parquet(versions[-1]), keys, order)
+    if not last:
+        return spark.createDataFrame([], changes.schema)
+    return latest(spark.read.schema(changes.schema).parquet(*sorted(set(last.values()))), keys, order)
