@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.sinks import scratch_root
+
 #: A side is broadcast only when it has been counted and is no larger than this.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
@@ -19,17 +21,8 @@ PARTITION_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only a session of one machine may go without; there it is a folder below the warehouse.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/tidemark-checkpoints"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The application's folder below the one that driver and executors share (spark.checkpoint.dir); it goes with the application."""
+    return scratch_root(spark)
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -38,7 +31,7 @@ def saved(df: DataFrame) -> DataFrame:
     While it is written, Arrow batches are small, so that Python workers hold little.
     """
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     had = spark.conf.get(key)
     spark.conf.set(key, BATCH_ROWS)
     try:
