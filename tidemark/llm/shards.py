@@ -65,6 +65,24 @@ def stretches(counts: list[int], owners: list[int], shards: int) -> list[tuple[i
     return out
 
 
+def _placed(rows: DataFrame, at: np.ndarray, bins: int) -> DataFrame:
+    """Rows with the arc of their place and its bin; places past the last one are in the first arc, after its own bins."""
+    n, step = len(at), max(1, int(len(at) ** 0.5))
+    listed = lambda xs: f"array({', '.join(f'{int(x)}L' if x > -edge else '-9223372036854775807L - 1L' for x in xs)})"
+    below = lambda xs: F.size(F.filter(xs, lambda x: x < F.col("pos")))
+    edge = 1 << 63
+    # two short searches: among every step-th place, then among those up to the next of them
+    rows = rows.withColumn("coarse", below(F.expr(listed(at[step - 1 :: step])) if n >= step else F.array().cast("array<bigint>")))
+    blocks = F.expr(f"array({', '.join(listed(at[k : k + step]) if k < n else 'CAST(array() AS ARRAY<BIGINT>)' for k in range(0, n + 1, step))})")
+    rows = rows.withColumn("k", F.col("coarse") * step + below(F.get(blocks, F.col("coarse"))))
+    low = F.expr(listed([-edge, *map(int, at)]))
+    span = F.expr(f"array({', '.join(f'{float(max(b - a, 1))!r}D' for a, b in zip([-edge, *map(int, at)], [*map(int, at), edge], strict=True))})")
+    share = (F.col("pos").cast("double") - F.get(low, F.col("k")).cast("double")) / F.get(span, F.col("k"))
+    rows = rows.withColumn("part", F.greatest(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0)).cast("int"))
+    past = F.col("k") == n
+    return rows.withColumn("arc", F.when(past, 0).otherwise(F.col("k")).cast("int")).withColumn("part", F.when(past, F.col("part") + bins).otherwise(F.col("part")).cast("int")).drop("coarse", "k")
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, bin_rows: int = BIN_ROWS) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null for this law)."""
     spark = docs.sparkSession
@@ -75,20 +93,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, bin_rows
     at, owners = ring(shards, vnodes)
     bins = max(1, -(-rows.count() // (bin_rows * len(at))))
 
-    def placed(batches):
-        width = np.diff(np.concatenate(([np.iinfo(np.int64).min], at)).astype(object))
-        for batch in batches:
-            pos = batch.column("pos").to_numpy()
-            k = np.searchsorted(at, pos)
-            low = np.where(k > 0, at[np.maximum(k, 1) - 1], np.iinfo(np.int64).min)
-            span = np.append(width, np.iinfo(np.int64).max - int(at[-1]) + 1).astype(np.float64)[k]
-            part = np.minimum((pos.view(np.uint64) - low.view(np.uint64)).astype(np.float64) / np.maximum(span, 1) * bins, bins - 1).astype(np.int32)
-            wrapped = k == len(at)  # past the last place: the first arc, after its own part
-            arc = np.where(wrapped, 0, k).astype(np.int32)
-            part = np.where(wrapped, part + bins, part).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(arc), pa.array(part)], [*batch.schema.names, "arc", "part"])
-
-    rows = rows.mapInArrow(placed, "doc_id long, size long, text_crc32 long, pos long, rid long, arc int, part int")
+    rows = _placed(rows, at, bins)
     loads = saved(rows.groupBy("arc", "part").agg(F.count("*").alias("n")))
     hot = saved(loads.where(F.col("n") > HOT_BINS * bin_rows).select("arc", "part", F.ceil(F.col("n") / bin_rows).alias("pieces")))
     if hot.limit(1).count():
