@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import attributes, codec
 from tidemark.operators import intervals, policy
-from tidemark.plans.codecs import crc32c
+from tidemark.functions.checksum import crc32c
 
 
 def one(spark, **columns):
@@ -55,7 +55,19 @@ def test_human_bytes(spark):
 
 
 def test_crc32c():
-    assert crc32c(b"123456789") == 0xE3069283 and crc32c(b"") == 0 and crc32c(b"123456789") != zlib.crc32(b"123456789")
+    def plain(data):
+        out = 0xFFFFFFFF
+        for b in data:
+            out ^= b
+            for _ in range(8):
+                out = out >> 1 ^ (0x82F63B78 if out & 1 else 0)
+        return out ^ 0xFFFFFFFF
+
+    draw = random.Random(4)
+    values = [b"123456789", b"", bytes(40)] + [draw.randbytes(n) for n in (1, 3, 4, 5, 12, 13, 63, 64, 500, 4000)]
+    assert crc32c(values).tolist() == [plain(v) for v in values]
+    assert plain(values[0]) == 0xE3069283 and [int(crc32c([v])[0]) for v in values] == [plain(v) for v in values]
+    assert crc32c([]).tolist() == []
 
 
 def test_batches_cover_and_fit():
@@ -93,7 +105,36 @@ def test_read_ahead():
 
 def test_streams():
     own = policy.StreamTracker(streams=2, low=10, high=40, stride=5, slack=8)
-    assert [own.read(o, 4) for o in (0, 4, 8, 12, 6, 1000, 2000, 16)] == [("start", 10), ("continue", 20), ("continue", 40), ("continue", 40), ("behind", 10), ("start", 10), ("start", 10), ("continue", 40)]
+    got = [own.read(o, 4)[:2] for o in (0, 4, 8, 12, 6, 1000, 2000, 16)]
+    assert got == [("start", 10), ("continue", 20), ("continue", 40), ("continue", 40), ("behind", 10), ("start", 10), ("start", 10), ("continue", 40)]
+
+
+def test_frontier():
+    own = policy.StreamTracker(low=10, high=40, stride=5, depth=2)
+    # a window at once, then whole windows up to two past each read
+    assert [own.read(o, 5)[2:] for o in (0, 5, 10)] == [((0, 10), None), (None, (10, 50)), (None, (50, 90))]
+    assert [own.read(o, 5)[2:] for o in (15, 20)] == [(None, (90, 130)), (None, None)]
+    # a read past the frontier fetches for itself
+    assert own.read(500, 5) == ("start", 10, (500, 510), None)
+    assert policy.StreamTracker().read(0, 1 << 20) == ("start", 128 << 10, (0, 1 << 20), None)
+
+
+def test_fetched_ranges_cover_streams():
+    draw = random.Random(2)
+    for _ in range(100):
+        own, fetched, at = policy.StreamTracker(low=8, high=64, stride=32), set(), 0
+        for _ in range(60):
+            at = draw.randrange(400) if draw.random() < 0.1 else at + draw.choice((0, 0, 0, 3))
+            n = draw.randint(1, 12)
+            effect, window, now, ahead = own.read(at, n)
+            for span in (now, ahead):
+                fetched.update(range(*(span or (0, 0))))
+            assert window <= 64 and (not ahead or ahead[1] <= at + (own.depth + 1) * window)
+            if effect == "behind":
+                at += n
+                continue
+            assert set(range(at, at + n)) <= fetched
+            at += n
 
 
 def test_round_budgets():

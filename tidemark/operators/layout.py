@@ -39,13 +39,31 @@ def seams(runs: DataFrame) -> DataFrame:
 
 
 def nominations(touched: DataFrame, least: int = 2, most: int = 16) -> DataFrame:
-    """Segments of reads that touch at least ``least`` of them; the first ``most`` of a read."""
-    once = touched.select("event_id", "epoch", "counter").distinct()
+    """Segments of reads that touch at least ``least`` of them; the first ``most`` of a read, in the order of its extents."""
+    once = touched.groupBy("event_id", "epoch", "counter").agg(F.min("extent").alias("first"))
     n = F.count("*").over(Window.partitionBy("event_id"))
-    rank = F.row_number().over(Window.partitionBy("event_id").orderBy("epoch", "counter"))
+    rank = F.row_number().over(Window.partitionBy("event_id").orderBy("first", "epoch", "counter"))
     return once.withColumn("fanout", n).withColumn("rank", rank).where((c("fanout") >= least) & (c("rank") <= most)).select("event_id", "epoch", "counter", "fanout")
 
 
+def read_seams(touched: DataFrame, most: int = 16) -> DataFrame:
+    """Pairs of segments between which reads cross: where an extent follows in the file, but not as the next frame of one segment.
+
+    touched: extents of reads with ``epoch``, ``counter``, ``frame_index``, ``byte_offset`` and ``byte_len``, without holes.
+    A pair has its lesser segment first and may be a segment with itself; each read names a pair once, and its first ``most``.
+    """
+    w = Window.partitionBy("event_id", "inode").orderBy("extent")
+    before = lambda k: F.lag(k).over(w)
+    here, there = F.struct("epoch", "counter"), F.struct(before("epoch").alias("epoch"), before("counter").alias("counter"))
+    together = (here == there) & (c("frame_index") == before("frame_index") + 1) & (c("byte_offset") == before("byte_offset") + before("byte_len"))
+    follows = c("extent") == before("extent") + 1
+    rows = touched.select("event_id", "inode", "extent", F.least(here, there).alias("a"), F.greatest(here, there).alias("b"), (follows & ~together).alias("seam")).where("seam")
+    once = rows.groupBy("event_id", "a", "b").agg(F.min("extent").alias("first"))
+    rank = F.row_number().over(Window.partitionBy("event_id").orderBy("first", "a", "b"))
+    once = once.withColumn("rank", rank).where(c("rank") <= most)
+    return once.select("event_id", c("a.epoch").alias("epoch_a"), c("a.counter").alias("counter_a"), c("b.epoch").alias("epoch_b"), c("b.counter").alias("counter_b"), c("first").alias("extent"))
+
+
 def ranked(segments: DataFrame, limit: int) -> DataFrame:
     """The most fragmented segments: live permille, then age.  A bounded, exact top-k."""
     return segments.orderBy("permille", "epoch", "counter").limit(limit)

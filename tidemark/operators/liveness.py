@@ -40,8 +40,8 @@ def dead_without_object(counters: DataFrame, objects: DataFrame) -> DataFrame:
     return counters.where("live = 0").join(objects.select(*SEGMENT), SEGMENT, "left_anti")
 
 
-def read_ranges(reads: DataFrame, extents: DataFrame, extent_bytes: int = 32768) -> DataFrame:
-    """Every extent that a byte range touches, with its location or as a hole, and the bytes wanted of it."""
+def read_ranges(reads: DataFrame, extents: DataFrame, extent_bytes: int = 32768, place: tuple[str, ...] = ()) -> DataFrame:
+    """Every extent that a byte range touches, with its segment (and columns ``place``) or as a hole, and the bytes wanted of it."""
     first = F.floor(c("offset") / extent_bytes)
     last = F.floor((c("offset") + c("length") - 1) / extent_bytes)
     rows = reads.select("event_id", "inode", "offset", "length", first.alias("first_"), last.alias("last_"))
@@ -49,7 +49,7 @@ def read_ranges(reads: DataFrame, extents: DataFrame, extent_bytes: int = 32768)
     rows = rows.withColumn("from_", F.explode(F.sequence("first_", "last_", F.lit(STEP)))).withColumn("extent", F.explode(F.sequence("from_", F.least(c("from_") + STEP - 1, c("last_")))))
     begin, end = c("extent") * extent_bytes, (c("extent") + 1) * extent_bytes
     rows = rows.withColumn("wanted", F.least(end, c("offset") + c("length")) - F.greatest(begin, c("offset")))
-    return rows.join(extents.select("inode", "extent", *SEGMENT), ["inode", "extent"], "left").select("event_id", "inode", "extent", "wanted", *SEGMENT, c("epoch").isNull().alias("hole"))
+    return rows.join(extents.select("inode", "extent", *SEGMENT, *place), ["inode", "extent"], "left").select("event_id", "inode", "extent", "wanted", *SEGMENT, *place, c("epoch").isNull().alias("hole"))
 
 
 def live_pairs(pairs: DataFrame, segments: DataFrame) -> DataFrame:

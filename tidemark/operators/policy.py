@@ -7,6 +7,7 @@ file group, one reader, one object, one round of at most a few thousand candidat
 from __future__ import annotations
 
 from bisect import bisect_left
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -103,46 +104,88 @@ def read_ahead(reads: DataFrame, window: int) -> DataFrame:
     return at.groupBy("inode").applyInPandas(plan, "event_id long, inode long, run long, fetch_start long, fetch_end long")
 
 
+@dataclass
+class Stream:
+    start: int
+    end: int
+    window: int
+    frontier: int  # up to here all bytes from the stream's reads on are fetched or on their way
+
+
+Span = tuple[int, int] | None
+
+
 class StreamTracker:
-    """Sequential streams of reads of one object.
+    """Sequential streams of reads of one object, and what is fetched for them.
 
     A read continues the stream whose end it is nearest to (at or after its start, within
     ``stride``), which doubles that stream's window; a read a little behind a stream's head changes
     nothing; any other starts a stream in a free place or in that of the smallest window.
+
+    A read that starts a stream, or that its stream's frontier does not cover, fetches its window at once.  A
+    stream that goes on keeps whole windows on their way, from its frontier to ``depth`` windows past the read.
+    Ranges are not cut at the object's end, which reads do not tell.
     """
 
-    def __init__(self, streams: int = 4, low: int = 128 << 10, high: int = 8 << 20, stride: int = 1 << 20, slack: int = 8):
-        self.limit, self.low, self.high, self.stride, self.slack = streams, low, high, stride, slack
-        self.heads: list[list[int]] = []  # start, end, window
+    def __init__(self, streams: int = 4, low: int = 128 << 10, high: int = 8 << 20, stride: int = 1 << 20, slack: int = 8, depth: int = 4):
+        self.limit, self.low, self.high, self.stride, self.slack, self.depth = streams, low, high, stride, slack, depth
+        self.heads: list[Stream] = []
 
-    def read(self, offset: int, length: int) -> tuple[str, int]:
-        gaps = [(max(0, offset - end), k) for k, (start, end, _) in enumerate(self.heads) if offset >= start and max(0, offset - end) <= self.stride]
+    def read(self, offset: int, length: int) -> tuple[str, int, Span, Span]:
+        """The read's effect, its window, the range fetched for it and the range fetched ahead."""
+        gaps = [(max(0, offset - s.end), k) for k, s in enumerate(self.heads) if offset >= s.start and max(0, offset - s.end) <= self.stride]
+        if not gaps and length and any(0 < s.start - offset <= self.slack * length for s in self.heads):
+            return "behind", self.low, None, None
         if gaps:
-            head = self.heads[min(gaps)[1]]
-            head[:] = [offset, offset + length, min(head[2] * 2, self.high)]
-            return "continue", head[2]
-        if length and any(0 < start - offset <= self.slack * length for start, _, _ in self.heads):
-            return "behind", self.low
-        fresh = [offset, offset + length, self.low]
+            own, effect = self.heads[min(gaps)[1]], "continue"
+            own.start, own.end, own.window = offset, offset + length, min(own.window * 2, self.high)
+        else:
+            own, effect = self.begin(offset, length), "start"
+        ahead = self.ahead(own)
+        if ahead:
+            self.note(offset, ahead[1])
+        now = None
+        if own.end > own.frontier or effect == "start":
+            now = (offset, offset + max(length, own.window))
+            self.note(*now)
+        return effect, own.window, now, ahead
+
+    def begin(self, offset: int, length: int) -> Stream:
+        fresh = Stream(offset, offset + length, self.low, offset)
         if len(self.heads) < self.limit:
             self.heads.append(fresh)
         else:
-            weakest = min(range(self.limit), key=lambda k: (self.heads[k][2], k))
-            self.heads[weakest] = fresh
-        return "start", self.low
+            self.heads[min(range(self.limit), key=lambda k: (self.heads[k].window, k))] = fresh
+        return fresh
+
+    def ahead(self, own: Stream) -> Span:
+        """Whole windows from the frontier on, as many as reach ``depth`` windows past the read."""
+        short = own.start + self.depth * own.window - own.frontier
+        if own.window <= self.low or own.frontier <= own.start or short <= 0:
+            return None
+        return own.frontier, own.frontier + min(self.depth, -(-short // own.window)) * own.window
+
+    def note(self, offset: int, stop: int) -> None:
+        """Move the frontier of every stream that a fetch goes on without a gap."""
+        for s in self.heads:
+            if stop > s.frontier and offset <= max(s.frontier, s.end):
+                s.frontier = stop
 
 
 def stream_tracker(reads: DataFrame) -> DataFrame:
-    """What each read of an object did to its streams, and the window it got."""
+    """What each read of an object did to its streams, the window it got, and the ranges fetched for and ahead of it."""
+    names = ["effect", "fetch_window", "fetch_start", "fetch_end", "ahead_start", "ahead_end"]
 
     def track(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("event_id", ignore_index=True)
         own = StreamTracker()
         found = [own.read(o, n) for o, n in zip(rows["offset"].tolist(), rows["length"].tolist(), strict=True)]
-        rows["effect"], rows["fetch_window"] = [x[0] for x in found], [x[1] for x in found]
-        return rows[["event_id", "path", "effect", "fetch_window"]]
+        flat = [(effect, window, *(now or (None, None)), *(ahead or (None, None))) for effect, window, now, ahead in found]
+        rows[names] = pd.DataFrame(flat, columns=names).astype({k: "Int64" for k in names[1:]})
+        return rows[["event_id", "path", *names]]
 
-    return reads.select("event_id", "path", "offset", "length").groupBy("path").applyInPandas(track, "event_id long, path string, effect string, fetch_window long")
+    schema = "event_id long, path string, effect string, fetch_window long, fetch_start long, fetch_end long, ahead_start long, ahead_end long"
+    return reads.select("event_id", "path", "offset", "length").groupBy("path").applyInPandas(track, schema)
 
 
 def walk_order(pairs: list[tuple]) -> list[list]:

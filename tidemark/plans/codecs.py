@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.functions import codec
 from tidemark.plans.registry import query
+from tidemark.sources import objects
 
 c = F.col
 
@@ -88,32 +86,12 @@ def c9(t):
     return rows.select("path", f["epoch"].cast("long").alias("epoch"), f["counter"].cast("long").alias("counter"), bad["epoch"].cast("long").alias("bad"))
 
 
-_CRC32C = None
-
-
-def crc32c(data: bytes) -> int:
-    """CRC-32C (Castagnoli), which Spark has no function for."""
-    global _CRC32C
-    if _CRC32C is None:
-        _CRC32C = []
-        for n in range(256):
-            for _ in range(8):
-                n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
-            _CRC32C.append(n)
-    out = 0xFFFFFFFF
-    for b in data:
-        out = _CRC32C[(out ^ b) & 255] ^ out >> 8
-    return out ^ 0xFFFFFFFF
-
-
-@query("c26_frame_checksum")
+@query("c26_frame_checksum", "SELECT epoch, counter, CAST(count(*) AS BIGINT) AS frames, CAST(sum(length(CAST(inode AS VARCHAR) || ':' || CAST(extent AS VARCHAR) || ';') * (1 + byte_len % 40)) AS BIGINT) AS bytes, 'whole' AS status, 'checksum' AS damaged FROM frame GROUP BY epoch, counter")
 def c26(t):
-    """A compressed frame of each directory with its checksum, opened and checked again."""
-
-    @F.pandas_udf("crc32c long, packed long, opened boolean")
-    def sealed(s: pd.Series) -> pd.DataFrame:
-        packed = s.map(lambda x: zlib.compress(x.encode()))
-        return pd.DataFrame({"crc32c": packed.map(crc32c), "packed": packed.map(len), "opened": [zlib.decompress(p).decode() == x for p, x in zip(packed, s, strict=True)]})
-
-    names = t.dir_entry.groupBy("dir_id").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
-    return names.select("dir_id", sealed("names").alias("s")).select("dir_id", "s.*")
+    """Segment objects of compressed frames, read back whole and with a damaged directory."""
+    text = F.expr("repeat(concat(inode, ':', extent, ';'), cast(1 + byte_len % 40 as int))")
+    sealed = objects.seal(t.frame.withColumn("payload", text.cast("binary")))
+    whole = objects.status(sealed).select("epoch", "counter", "status")
+    broken = objects.status(objects.damaged(sealed)).select("epoch", "counter", c("status").alias("damaged"))
+    read = objects.read_frames(sealed).groupBy("epoch", "counter").agg(F.count("*").alias("frames"), F.sum(F.octet_length("payload")).alias("bytes"))
+    return read.join(whole, ["epoch", "counter"]).join(broken, ["epoch", "counter"])

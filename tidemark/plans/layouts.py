@@ -31,13 +31,24 @@ def g3(t):
     return layout.seams(layout.file_runs(t.extent))
 
 
-@query("g4_nominations", """WITH x AS (SELECT DISTINCT r.event_id, e.epoch, e.counter FROM (SELECT event_id, inode, unnest(range("offset" // 32768, ("offset" + length - 1) // 32768 + 1)) AS extent FROM access WHERE operation = 'read') r JOIN extent e ON e.inode = r.inode AND e.extent = r.extent)
-  SELECT event_id, epoch, counter, fanout FROM (SELECT *, count(*) OVER (PARTITION BY event_id) AS fanout, row_number() OVER (PARTITION BY event_id ORDER BY epoch, counter) AS rank FROM x) WHERE fanout >= 2 AND rank <= 16""")
+_READS = """SELECT r.event_id, e.* FROM (SELECT event_id, inode, unnest(range("offset" // 32768, ("offset" + length - 1) // 32768 + 1)) AS extent FROM access WHERE operation = 'read') r JOIN extent e ON e.inode = r.inode AND e.extent = r.extent"""
+
+
+@query("g4_nominations", f"""SELECT event_id, epoch, counter, fanout FROM (SELECT *, count(*) OVER (PARTITION BY event_id) AS fanout, row_number() OVER (PARTITION BY event_id ORDER BY first, epoch, counter) AS rank
+  FROM (SELECT event_id, epoch, counter, min(extent) AS first FROM ({_READS}) GROUP BY ALL)) WHERE fanout >= 2 AND rank <= 16""")
 def g4(t):
     touched = liveness.read_ranges(t.access.where("operation = 'read'"), t.extent).where("not hole")
     return layout.nominations(touched)
 
 
+@query("g4_read_seams", f"""WITH p AS (SELECT *, epoch * 1000000000 + counter AS here, lag(epoch * 1000000000 + counter) OVER w AS there, lag(extent) OVER w AS pe, lag(frame_index) OVER w AS pf, lag(byte_offset + byte_len) OVER w AS po FROM ({_READS}) WINDOW w AS (PARTITION BY event_id, inode ORDER BY extent)),
+  s AS (SELECT event_id, least(here, there) AS a, greatest(here, there) AS b, min(extent) AS extent FROM p WHERE extent = pe + 1 AND NOT (here = there AND frame_index = pf + 1 AND byte_offset = po) GROUP BY ALL)
+  SELECT event_id, a // 1000000000 AS epoch_a, a % 1000000000 AS counter_a, b // 1000000000 AS epoch_b, b % 1000000000 AS counter_b, extent FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY extent, a, b) AS rank FROM s) WHERE rank <= 16""")
+def g4_seams(t):
+    touched = liveness.read_ranges(t.access.where("operation = 'read'"), t.extent, place=("frame_index", "byte_offset", "byte_len")).where("not hole")
+    return layout.read_seams(touched)
+
+
 @query("g5_batch_cuts")
 def g5(t):
     return policy.batches(t.extent, target=4_000_000, slack=200_000, group_bytes=1 << 28)
