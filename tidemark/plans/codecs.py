@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import codec
 from tidemark.plans.registry import query
 from tidemark.sources import objects
+from tidemark.sources.sinks import kept
 
 c = F.col
 
@@ -90,7 +91,7 @@ def c9(t):
 def c26(t):
     """Segment objects of compressed frames, read back whole and with a damaged directory."""
     text = F.expr("repeat(concat(inode, ':', extent, ';'), cast(1 + byte_len % 40 as int))")
-    sealed = objects.seal(t.frame.withColumn("payload", text.cast("binary")))
+    sealed = kept(objects.seal(t.frame.withColumn("payload", text.cast("binary"))))
     whole = objects.status(sealed).select("epoch", "counter", "status")
     broken = objects.status(objects.damaged(sealed)).select("epoch", "counter", c("status").alias("damaged"))
     read = objects.read_frames(sealed).groupBy("epoch", "counter").agg(F.count("*").alias("frames"), F.sum(F.octet_length("payload")).alias("bytes"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterable, Iterator
+from functools import cache
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -31,13 +33,21 @@ FAULTS = ("short", "magic", "version", "size", "reserved", "apart", "checksum",
 FRAME = "epoch long, counter long, frame_index long, inode long, extent long, payload binary"
 
 
+#: Bytes that a task gathers before it hands rows on; one object or frame may be larger.
+GATHER = 16 << 20
+
+
 class Fault(ValueError):
     """Why an object cannot be read: one of FAULTS, or ``frame``."""
 
 
+compressor = cache(zstandard.ZstdCompressor)
+decompressor = cache(zstandard.ZstdDecompressor)
+
+
 def pack(data: bytes, codec: str = "zstd", level: int = 3) -> bytes:
     """Compressed bytes behind their plain length in four bytes."""
-    body = zstandard.ZstdCompressor(level=level).compress(data) if codec == "zstd" else pa.compress(data, codec="lz4_raw", asbytes=True)
+    body = compressor(level).compress(data) if codec == "zstd" else pa.compress(data, codec="lz4_raw", asbytes=True)
     return struct.pack("<I", len(data)) + body
 
 
@@ -48,7 +58,7 @@ def unpack(data: bytes) -> bytes:
     size = int.from_bytes(data[:4], "little")
     try:
         if data[4:8] == ZSTD:
-            out = zstandard.ZstdDecompressor().decompress(data[4:], max_output_size=size)
+            out = decompressor().decompress(data[4:], max_output_size=size)
         else:
             out = pa.decompress(data[4:], decompressed_size=size, codec="lz4_raw", asbytes=True)
     except (zstandard.ZstdError, OSError, ValueError) as e:
@@ -111,17 +121,37 @@ def payload(data: bytes, entry: tuple[int, int, int, int]) -> bytes:
     return unpack(data[at + 4 : at + 4 + length])
 
 
+def gathered(rows: Iterable[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows, whose last value is bytes or None, in frames of some GATHER bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1] or b"") + 64
+        if size >= GATHER:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def seal(frames: DataFrame, codec: str = "zstd") -> DataFrame:
-    """(epoch, counter, object) of frames with ``inode``, ``extent`` and ``payload`` (null: empty) in order of ``frame_index``."""
+    """(epoch, counter, object) of frames with ``inode``, ``extent`` and ``payload`` (null: empty) in order of ``frame_index``.
 
-    def sealed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame_index", ignore_index=True)
-        epoch, counter = int(rows["epoch"].iloc[0]), int(rows["counter"].iloc[0])
-        parts = zip(rows["inode"].tolist(), rows["extent"].tolist(), (x or b"" for x in rows["payload"]), strict=True)
-        return pd.DataFrame({"epoch": [epoch], "counter": [counter], "object": [build(epoch, counter, parts, codec=codec)]})
+    A task goes through its segments in order and holds the frames of one.
+    """
+
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for rows in batches:
+            yield from rows.itertuples(index=False, name=None)
+
+    def sealed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        segments = groupby(rows_of(batches), key=lambda r: r[:2])
+        built = ((*key, build(*key, ((r[3], r[4], r[5] or b"") for r in own), codec=codec)) for key, own in segments)
+        return gathered(built, ["epoch", "counter", "object"])
 
     rows = frames.select("epoch", "counter", "frame_index", "inode", "extent", "payload")
-    return rows.groupBy("epoch", "counter").applyInPandas(sealed, "epoch long, counter long, object binary")
+    rows = rows.repartition("epoch", "counter").sortWithinPartitions("epoch", "counter", "frame_index")
+    return rows.mapInPandas(sealed, "epoch long, counter long, object binary")
 
 
 def status(objects: DataFrame) -> DataFrame:
@@ -143,22 +173,22 @@ def status(objects: DataFrame) -> DataFrame:
 def read_frames(objects: DataFrame, first: int = 0, last: int | None = None) -> DataFrame:
     """The frames ``first`` to ``last`` of each object with their payloads; objects with a fault give none, frames with one a null payload."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for rows in batches:
             for epoch, counter, data in zip(rows["epoch"], rows["counter"], rows["object"], strict=True):
                 try:
                     entries = directory(data or b"", epoch, counter)
                 except Fault:
                     continue
-                found = []
-                for k, entry in enumerate(entries):
-                    if k < first or last is not None and k > last:
-                        continue
+                for k, entry in list(enumerate(entries))[first : None if last is None else last + 1]:
                     try:
-                        found.append((epoch, counter, k, entry[2], entry[3], payload(data, entry)))
+                        plain = payload(data, entry)
                     except Fault:
-                        found.append((epoch, counter, k, entry[2], entry[3], None))
-                yield pd.DataFrame(found, columns=["epoch", "counter", "frame_index", "inode", "extent", "payload"])
+                        plain = None
+                    yield epoch, counter, k, entry[2], entry[3], plain
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return gathered(found(batches), ["epoch", "counter", "frame_index", "inode", "extent", "payload"])
 
     return objects.select("epoch", "counter", "object").mapInPandas(read, FRAME)
 
