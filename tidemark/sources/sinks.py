@@ -85,7 +85,13 @@ def checkpoint_delete(spark: SparkSession, path: str, name: str) -> bool:
 
 
 def checkpoint_list(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy(F.col("version").cast("string").alias("version")).agg(F.count("*").alias("entries"))
+    """Versions and their entries; one without entries has files all the same, and counts 0."""
+    rows = spark.read.schema("version string").parquet(path)
+    counted = rows.select("version", F.lit(1).alias("n"))
+    if rows.inputFiles():
+        files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, version string").load(path)
+        counted = counted.unionAll(files.select("version", F.lit(0).alias("n")))
+    return counted.groupBy("version").agg(F.sum("n").alias("entries"))
 
 
 def metrics(rows: DataFrame, time: str, names: dict[str, str]) -> DataFrame:
