@@ -43,10 +43,15 @@ def windowed(access: DataFrame, width: str, by: list[str], slide: str | None = N
     return out.select(F.unix_seconds("w.start").alias("start"), *by, "events", "bytes")
 
 
-def sessions(access: DataFrame, gap: str, by: list[str], late: str = "10 minutes") -> DataFrame:
-    """Runs of events with no longer gap between them."""
-    out = access.withWatermark("time", late).groupBy(F.session_window("time", gap).alias("w"), *by).agg(F.count("*").alias("events"))
-    return out.select(*by, F.unix_seconds("w.start").alias("start"), F.unix_seconds("w.end").alias("stop"), "events")
+def sessions(access: DataFrame, gap: str, by: list[str], late: str | None = None) -> DataFrame:
+    """Runs of events less than a gap apart; a run stops a gap after its last event.
+
+    Spark joins windows that touch, so they are shorter by a microsecond, the unit of time. late: drop events that
+    come later than this (append mode needs it); without it none is lost, whatever the order of micro-batches.
+    """
+    timed = access.withWatermark("time", late) if late else access
+    out = timed.groupBy(F.session_window("time", f"{gap} -1 microsecond").alias("w"), *by).agg(F.count("*").alias("events"))
+    return out.select(*by, F.unix_seconds("w.start").alias("start"), F.unix_seconds(F.expr("w.end + INTERVAL 1 MICROSECOND")).alias("stop"), "events")
 
 
 def once(ops: DataFrame, key: str, retention: str) -> DataFrame:
